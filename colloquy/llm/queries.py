@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from colloquy.llm.quality import op3_quality
 from colloquy.llm.simhash import op8_simhash
 
 
 def queries() -> dict:
-    return {"op8_simhash": op8_simhash}
+    return {"op3_quality": op3_quality, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from colloquy.llm.toxicity import op1_toxicity
 from colloquy.llm.quality import op3_quality
 from colloquy.llm.simhash import op8_simhash
 
 
 def queries() -> dict:
-    return {"op3_quality": op3_quality, "op8_simhash": op8_simhash}
+    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict:

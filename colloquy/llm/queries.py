@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from colloquy.llm.toxicity import op1_toxicity
 from colloquy.llm.packing import op7_packing
+from colloquy.llm.rans import op6_token_files
 from colloquy.llm.quality import op3_quality
 from colloquy.llm.simhash import op8_simhash
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op7_packing": op7_packing, "op8_simhash": op8_simhash}
+    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict:

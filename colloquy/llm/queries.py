@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from colloquy.llm.toxicity import op1_toxicity
+from colloquy.llm.ctw import op9_ctw
 from colloquy.llm.media import op4_media
 from colloquy.llm.packing import op7_packing
 from colloquy.llm.rans import op6_token_files
@@ -11,7 +12,7 @@ from colloquy.llm.simhash import op8_simhash
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op4_media": op4_media, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_simhash": op8_simhash}
+    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op4_media": op4_media, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op9_ctw": op9_ctw}
 
 
 def oracle_sql() -> dict:

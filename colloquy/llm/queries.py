@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from colloquy.llm.suffix_dedup import op2_suffix_dedup
 from colloquy.llm.toxicity import op1_toxicity
+from colloquy.llm.wrappers import op5_wrappers
 from colloquy.llm.ctw import op9_ctw
 from colloquy.llm.media import op4_media
 from colloquy.llm.packing import op7_packing
@@ -13,7 +14,7 @@ from colloquy.llm.simhash import op8_simhash
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_media": op4_media, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op9_ctw": op9_ctw}
+    return {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_media": op4_media, "op5_wrappers": op5_wrappers, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op9_ctw": op9_ctw}
 
 
 def oracle_sql() -> dict:

@@ -10,11 +10,12 @@ from colloquy.llm.media import op4_media
 from colloquy.llm.packing import op7_packing
 from colloquy.llm.rans import op6_token_files
 from colloquy.llm.quality import op3_quality
+from colloquy.llm.sentencepiece_trie import op10_sentencepiece
 from colloquy.llm.simhash import op8_simhash
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_media": op4_media, "op5_wrappers": op5_wrappers, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op9_ctw": op9_ctw}
+    return {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_media": op4_media, "op5_wrappers": op5_wrappers, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op9_ctw": op9_ctw, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict:

@@ -39,9 +39,10 @@ from colloquy.llm.tokens import slices
 WINDOW = 50
 K = 20
 BLOCK_BYTES = 8 << 20
+STRETCH_BYTES = 1 << 20
 SHARD_BYTES = 512 << 10
-#: Bytes of text for which there is a bucket.
-BUCKET_TEXT = 4 << 20
+#: Bytes of text for which there is a bucket of hashes, or of strings.
+HASH_BUCKET_TEXT, STRING_BUCKET_TEXT = 8 << 20, 1 << 20
 _NONE = np.iinfo(np.int64).max
 #: Bits of a packed minimizer for its place; the same in every block, however long.
 _POS_BITS = np.uint64(34)
@@ -107,22 +108,33 @@ class Block:
         self.all_ids = ids
         self.sizes = b.column("sizes")[k].values.to_numpy()
         self.data = np.frombuffer(b.column("data")[k].as_buffer(), np.uint8)
+        self.rest = b.column("rest")[k].values if "rest" in b.schema.names else None
 
     def runs(self):
-        first, n, doc, h = runs(self.data, self.sizes)
+        # a stretch of documents at a time: hashing needs some fifty bytes of memory a byte
+        ends = np.cumsum(self.sizes)
+        cuts = np.append(0, np.flatnonzero(np.diff((ends - 1) // STRETCH_BYTES)) + 1) if len(ends) else np.zeros(0, np.int64)
+        found = []
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ends)], strict=True):
+            lo = int(ends[a] - self.sizes[a])
+            first, n, doc, h = runs(self.data[lo : int(ends[b - 1])], self.sizes[a:b])
+            found.append((first + lo, n, doc + a, h))
+        first, n, doc, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else runs(self.data, self.sizes)
         if self.no_id.any():
             ok = ~self.no_id[doc]
             first, n, doc, h = first[ok], n[ok], doc[ok], h[ok]
         return first, n, doc, h
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema | None = None) -> Iterator[Block]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for b in batches:
         for k in range(b.num_rows):
             yield Block(b, k)
 
 
-def pack_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def pack_blocks(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """The block table; ``rest`` has the carried columns of each document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         block = part << 32
@@ -137,14 +149,16 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         pa.ListArray.from_arrays([0, hi - lo], b.column(0).slice(lo, hi - lo)),
                         pa.ListArray.from_arrays([0, hi - lo], sizes),
                         pa.array([b"".join(raw.to_pylist())], pa.binary()),
+                        pa.ListArray.from_arrays([0, hi - lo], b.column(2).slice(lo, hi - lo)),
                     ],
-                    ["part", "block", "doc_ids", "sizes", "data"],
+                    ["part", "block", "doc_ids", "sizes", "data", "rest"],
                 )
                 block += 1
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(
-        run, "part long, block long, doc_ids array<long>, sizes array<long>, data binary"
-    )
+    rest = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"), rest.alias("rest"))
+    kind = rows.schema["rest"].dataType.simpleString()
+    return rows.mapInArrow(run, f"part long, block long, doc_ids array<long>, sizes array<long>, data binary, rest array<{kind}>")
 
 
 def _by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,10 +262,10 @@ def answers_of(folder: str, block: int, held: dict) -> list[bytes]:
 class Strings:
     """A block's distinct strings of repeated windows, ordered by minimizer hash."""
 
-    def __init__(self, b: Block, flags: list[bytes], bits: int):
+    def __init__(self, b: Block, flags: list[bytes], hash_bits: int, bits: int):
         first, n, doc, h = b.runs()
         keys, _ = distinct_hashes(h, b.ids[doc])
-        _, at = _by_bucket(keys, bits)
+        _, at = _by_bucket(keys, hash_bits)
         hit = [np.unpackbits(np.frombuffer(f, np.uint8))[: y - x] for f, x, y in zip(flags, at, at[1:], strict=False)]
         hit = np.concatenate(hit).astype(bool) if hit else np.zeros(0, bool)
         kept = np.flatnonzero(hit[np.searchsorted(keys, h)]) if len(h) else np.zeros(0, np.int64)
@@ -281,14 +295,14 @@ class Strings:
         ]
 
 
-def string_rows(blocks: DataFrame, folder: str, bits: int) -> DataFrame:
+def string_rows(blocks: DataFrame, folder: str, hash_bits: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for b in _blocks(batches):
-            rows = Strings(b, answers_of(folder, b.block, held), bits).rows(b.block)
+            rows = Strings(b, answers_of(folder, b.block, held), hash_bits, bits).rows(b.block)
             yield _rows(rows, ["bucket", "block", "lengths", "payload", "least"])
 
-    return blocks.mapInArrow(run, "bucket long, block long, lengths binary, payload binary, least binary")
+    return blocks.drop("rest").mapInArrow(run, "bucket long, block long, lengths binary, payload binary, least binary")
 
 
 def _shorter(values: np.ndarray) -> bytes:
@@ -345,31 +359,34 @@ def _apply(b: Block, s: Strings, answers: list[bytes]) -> tuple[np.ndarray, np.n
     return gone, begins
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row, and ``kept`` bytes.
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False, carry: list[str] = ()) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept][, rest])`` for every row.
+
+    ``kept`` is the text left (bytes of characters that a removed run cut are dropped from it,
+    not from the checksum); ``rest`` is a struct of the columns named in ``carry``.
 
     Every byte is removed that lies in a 50-byte string which starts in a document with a
     smaller id as well; rows with the same id do not remove from each other.  Rows with a
     null id neither remove nor lose bytes.  Null and short texts are kept as they are.
     """
     spark = docs.sparkSession
-    blocks = stage(pack_blocks(docs, id_col, text_col), "dedup-blocks")
+    blocks = stage(pack_blocks(docs, id_col, text_col, list(carry)), "dedup-blocks")
     total = blocks.select(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0] or 0
-    bits = max(6, int(np.ceil(np.log2(max(1, total / BUCKET_TEXT)))))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << bits)
+    hash_bits, bits = (max(6, int(np.ceil(np.log2(max(1, total / x))))) for x in (HASH_BUCKET_TEXT, STRING_BUCKET_TEXT))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (256 << 20))
 
-    def by_bucket(rows: DataFrame, reduce: Callable) -> DataFrame:
+    def by_bucket(rows: DataFrame, bits: int, reduce: Callable) -> DataFrame:
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 4)
         return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(reduce, _ANSWER)
 
     flags, answers = fresh_path(spark, "dedup-flags"), fresh_path(spark, "dedup-answers")
-    answers_by_part(by_bucket(hash_rows(blocks, bits), repeated_bits), flags, parts)
-    answers_by_part(by_bucket(string_rows(blocks, flags, bits), merged_answers), answers, parts)
+    answers_by_part(by_bucket(hash_rows(blocks, hash_bits), hash_bits, repeated_bits), flags, parts)
+    answers_by_part(by_bucket(string_rows(blocks, flags, hash_bits, bits), bits, merged_answers), answers, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_flags, held_answers = {}, {}
         for b in _blocks(batches):
-            s = Strings(b, answers_of(flags, b.block, held_flags), bits)
+            s = Strings(b, answers_of(flags, b.block, held_flags), hash_bits, bits)
             gone, begins = _apply(b, s, answers_of(answers, b.block, held_answers))
             ends = np.cumsum(b.sizes)
             rows = []
@@ -377,15 +394,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 g = gone[e - n : e]
                 removed = int(np.count_nonzero(g))
                 kept = b.data[e - n : e][~g].tobytes() if removed else b.data[e - n : e].tobytes()
-                rows.append((n, removed, int(np.count_nonzero(begins[e - n : e])), hashlib.sha256(kept).hexdigest(), kept))
+                rows.append((n, removed, int(np.count_nonzero(begins[e - n : e])), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_kept else ""))
             cols = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             width = 5 if with_kept else 4
-            yield pa.RecordBatch.from_arrays([b.all_ids, *(pa.array(c, t) for c, t in zip(cols[:width], kinds, strict=False))], ["doc_id", *names[:width]])
-
-    kept = ", kept binary" if with_kept else ""
-    return blocks.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kept}")
+            out = [b.all_ids, *(pa.array(c, t) for c, t in zip(cols[:width], kinds, strict=False))]
+            if carry:
+                out.append(b.rest)
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", *names[:width], *(["rest"] if carry else [])])
+
+    more = ", kept string" if with_kept else ""
+    if carry:
+        more += f", rest {blocks.schema['rest'].dataType.elementType.simpleString()}"
+    return blocks.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -130,7 +130,12 @@ def quality_rules(
     total = F.aggregate("_grams", F.lit(0.0), lambda s, b: s + F.get("_llr", b.cast("int")))
     d = d.withColumn("llr", F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(0.0))
     d = d.withColumn("base_failed", base_failed())
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("_grams", "_llr")
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    # generated from one struct, the verdicts are computed once: a caller's filter on them
+    # would otherwise be rewritten into the whole chain of expressions, over and over
+    found = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept"]
+    own = [c for c in docs.columns if c not in found]
+    return d.select(*own, F.inline(F.array(F.struct(*found))))
 
 
 def trusted_ids(spark, sf_dir: str) -> DataFrame:

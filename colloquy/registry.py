@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from colloquy.plans import catalog
+
 
 def queries() -> dict:
-    return {}
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(catalog.SQL)

@@ -122,10 +122,12 @@ def quality_rules(
 
     Rows are judged one by one after one corpus pass for the two multinomials; repeated rows
     stay repeated, and rows with a null id are judged like any other.  No trusted row: the
-    target is flat.  A text without words has llr 0 and fails the base rules.
+    target is flat.  A text without words has llr 0 and fails the base rules.  Other columns
+    stay as they are, but one named like a result gives way to it.
     """
     llr = ratio_table(docs, trusted, id_col, text_col, buckets, target_rows)
-    d = with_base_counts(docs, text_col).withColumn("_grams", grams_of(F.col("_words"), buckets)).drop("_words")
+    d = docs.select(F.struct("*").alias("_own"), F.col(text_col).alias("_text"))
+    d = with_base_counts(d, "_text").withColumn("_grams", grams_of(F.col("_words"), buckets)).drop("_words")
     d = d.withColumn("_llr", llr)
     total = F.aggregate("_grams", F.lit(0.0), lambda s, b: s + F.get("_llr", b.cast("int")))
     d = d.withColumn("llr", F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(0.0))
@@ -134,7 +136,7 @@ def quality_rules(
     # generated from one struct, the verdicts are computed once: a caller's filter on them
     # would otherwise be rewritten into the whole chain of expressions, over and over
     found = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept"]
-    own = [c for c in docs.columns if c not in found]
+    own = [F.col("_own")[c].alias(c) for c in docs.columns if c.lower() not in found]
     return d.select(*own, F.inline(F.array(F.struct(*found))))
 
 

@@ -52,6 +52,14 @@ def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, order
 
 
+def _stable(symbol: np.ndarray) -> np.ndarray:
+    """Stable order of small unsigned numbers, by radix: 16 bits a pass."""
+    if symbol.dtype.itemsize <= 2:
+        return np.argsort(symbol, kind="stable")
+    low = np.argsort((symbol & 0xFFFF).astype(np.uint16), kind="stable")
+    return low[np.argsort((symbol >> 16).astype(np.uint16)[low], kind="stable")]
+
+
 def rotation_order(c: Cycles, codes: np.ndarray, depth: int) -> np.ndarray:
     """Rotations of one shard by their first ``depth`` symbols, by doubling."""
     rank, order = _dense(codes)
@@ -101,7 +109,7 @@ def merge(data: np.ndarray, lengths: np.ndarray, shard_bytes: int, depth: int) -
         place = np.argsort(inter, kind="stable")  # places of each shard, in its own order
         symbol = np.empty(c.n, kind)
         symbol[place] = transform
-        step = np.argsort(symbol, kind="stable")
+        step = _stable(symbol)
         inter, symbol, block = inter[step], symbol[step], block[step]
         edge = np.append(True, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1]))
         prefix[edge & (prefix == depth)] = h

@@ -39,10 +39,14 @@ from colloquy.llm.tokens import slices
 WINDOW = 50
 K = 20
 BLOCK_BYTES = 8 << 20
-STRETCH_BYTES = 1 << 20
+STRETCH_BYTES = 256 << 10
 SHARD_BYTES = 512 << 10
 #: Bytes of text for which there is a bucket of hashes, or of strings.
 HASH_BUCKET_TEXT, STRING_BUCKET_TEXT = 8 << 20, 1 << 20
+#: Further hash bits that part a bucket's strings inside its task: windows never cross them.
+SUB_BITS = 3
+#: Windows or bytes that one array step handles.
+STEP_ITEMS = 256 << 10
 _NONE = np.iinfo(np.int64).max
 #: Bits of a packed minimizer for its place; the same in every block, however long.
 _POS_BITS = np.uint64(34)
@@ -84,7 +88,8 @@ def runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     best, doc = (m[start] & low).astype(np.int64), doc[start]
     new = np.append(True, (best[1:] != best[:-1]) | (doc[1:] != doc[:-1]))
     first = np.flatnonzero(new)
-    return start[first], np.diff(np.append(first, len(start))), doc[first], h[best[first]]
+    # mixed once more: least hashes crowd at the low end, and hash ranges are the buckets
+    return start[first], np.diff(np.append(first, len(start))), doc[first], _mix(h[best[first]])
 
 
 def distinct_hashes(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +174,7 @@ def _by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = {"payload": pa.binary(), "lengths": pa.binary(), "least": pa.binary()}
+    kinds = {n: pa.binary() for n in ("payload", "lengths", "least", "subs")}
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds.get(n, pa.int64())) for k, n in enumerate(names)], names)
 
 
@@ -259,6 +264,18 @@ def answers_of(folder: str, block: int, held: dict) -> list[bytes]:
     return held["rows"].slice(a, b - a).to_pylist()
 
 
+def _steps(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of items whose sizes add up to about ``STEP_ITEMS``."""
+    if len(n):
+        cuts = np.flatnonzero(np.diff((np.cumsum(n) - 1) // STEP_ITEMS)) + 1
+        yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(n)], strict=True)
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for ``n`` places of each item."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Strings:
     """A block's distinct strings of repeated windows, ordered by minimizer hash."""
 
@@ -273,8 +290,8 @@ class Strings:
         self.first, self.n, self.doc, h = first[kept], n[kept], doc[kept], h[kept]
         lengths = self.n + WINDOW - 1
         ends = np.append(0, np.cumsum(lengths))
-        flat = b.data[np.repeat(self.first - ends[:-1], lengths) + np.arange(ends[-1])]
-        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat.tobytes())])
+        flat = b"".join(b.data[_spread(self.first[x:y], lengths[x:y])].tobytes() for x, y in _steps(lengths))
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)])
         coded = texts.dictionary_encode()
         self.code = coded.indices.to_numpy().astype(np.int64)
         self.texts = coded.dictionary
@@ -285,12 +302,20 @@ class Strings:
         np.minimum.at(self.least, self.code, b.ids[self.doc])
         # equal strings have equal minimizers, so first-seen order is still by hash
         self.buckets, self.at = _by_bucket(h[one], bits)
+        self.sub = ((h[one] >> np.uint64(64 - bits - SUB_BITS)) & np.uint64((1 << SUB_BITS) - 1)).astype(np.int64)
 
     def rows(self, block: int) -> list[tuple]:
         ends = np.append(0, np.cumsum(self.lengths))
         data = memoryview(b"".join(self.texts.to_pylist()))
         return [
-            (int(k), block, self.lengths[x:y].astype("<u2").tobytes(), bytes(data[ends[x] : ends[y]]), self.least[x:y].astype("<i8").tobytes())
+            (
+                int(k),
+                block,
+                self.lengths[x:y].astype("<u2").tobytes(),
+                bytes(data[ends[x] : ends[y]]),
+                self.least[x:y].astype("<i8").tobytes(),
+                np.bincount(self.sub[x:y], minlength=1 << SUB_BITS).astype("<u4").tobytes(),
+            )
             for k, x, y in zip(self.buckets, self.at, self.at[1:], strict=False)
         ]
 
@@ -300,9 +325,9 @@ def string_rows(blocks: DataFrame, folder: str, hash_bits: int, bits: int) -> Da
         held: dict = {}
         for b in _blocks(batches):
             rows = Strings(b, answers_of(folder, b.block, held), hash_bits, bits).rows(b.block)
-            yield _rows(rows, ["bucket", "block", "lengths", "payload", "least"])
+            yield _rows(rows, ["bucket", "block", "lengths", "payload", "least", "subs"])
 
-    return blocks.drop("rest").mapInArrow(run, "bucket long, block long, lengths binary, payload binary, least binary")
+    return blocks.drop("rest").mapInArrow(run, "bucket long, block long, lengths binary, payload binary, least binary, subs binary")
 
 
 def _shorter(values: np.ndarray) -> bytes:
@@ -317,27 +342,44 @@ def _longer(raw: bytes) -> np.ndarray:
     return np.repeat(values, np.diff(np.append(at, n)))
 
 
+def _window_answers(lengths: list[np.ndarray], texts: list[bytes], ids: list[np.ndarray]) -> list[np.ndarray]:
+    """Merge the transforms of all strings; for each list's strings the least id by window."""
+    every = np.concatenate(lengths)
+    ends = np.append(0, np.cumsum(every))
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(every), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(texts))])
+    coded = whole.dictionary_encode()
+    code, least = coded.indices.to_numpy().astype(np.int64), np.full(len(coded.dictionary), _NONE, np.int64)
+    np.minimum.at(least, code, np.concatenate(ids))
+    sizes = pc.binary_length(coded.dictionary).to_numpy().astype(np.int64)
+    data = np.frombuffer(b"".join(coded.dictionary.to_pylist()), np.uint8)
+    answer, n = least_by_window(data, sizes, least, WINDOW, SHARD_BYTES)
+    first = np.cumsum(n) - n
+    out, at = [], 0
+    for own in lengths:
+        c = code[at : at + len(own)]
+        at += len(own)
+        out.append(answer[_spread(first[c], n[c])])
+    return out
+
+
 def merged_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge a bucket's transforms; for each block's strings the least id by window."""
+    """A bucket's answers, one part of its hash range after the other."""
     for bucket, rows in _grouped(batches):
         lengths = [np.frombuffer(r[2], "<u2").astype(np.int64) for r in rows]
-        every = np.concatenate(lengths)
-        ends = np.append(0, np.cumsum(every))
-        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(every), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(r[3] for r in rows))])
-        coded = texts.dictionary_encode()
-        code, least = coded.indices.to_numpy().astype(np.int64), np.full(len(coded.dictionary), _NONE, np.int64)
-        np.minimum.at(least, code, np.concatenate([np.frombuffer(r[4], "<i8") for r in rows]))
-        sizes = pc.binary_length(coded.dictionary).to_numpy().astype(np.int64)
-        data = np.frombuffer(b"".join(coded.dictionary.to_pylist()), np.uint8)
-        answer, n = least_by_window(data, sizes, least, WINDOW, SHARD_BYTES)
-        first = np.cumsum(n) - n
-        at, out = 0, []
-        for r, own in zip(rows, lengths, strict=True):
-            c = code[at : at + len(own)]
-            at += len(own)
-            m = n[c]
-            values = answer[np.repeat(first[c] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
-            out.append((r[1] >> 32, r[1], bucket, _shorter(values)))
+        cuts = [np.append(0, np.cumsum(np.frombuffer(r[5], "<u4").astype(np.int64))) for r in rows]
+        bytes_at = [np.append(0, np.cumsum(n))[c] for n, c in zip(lengths, cuts, strict=True)]
+        ids = [np.frombuffer(r[4], "<i8") for r in rows]
+        found: list[list[np.ndarray]] = [[] for _ in rows]
+        for k in range(1 << SUB_BITS):
+            have = [x for x, c in enumerate(cuts) if c[k + 1] > c[k]]
+            if not have:
+                continue
+            part = [slice(cuts[x][k], cuts[x][k + 1]) for x in have]
+            texts = [rows[x][3][bytes_at[x][k] : bytes_at[x][k + 1]] for x in have]
+            got = _window_answers([lengths[x][p] for x, p in zip(have, part, strict=True)], texts, [ids[x][p] for x, p in zip(have, part, strict=True)])
+            for x, values in zip(have, got, strict=True):
+                found[x].append(values)
+        out = [(r[1] >> 32, r[1], bucket, _shorter(np.concatenate(v))) for r, v in zip(rows, found, strict=True)]
         yield _rows(out, ["part", "block", "bucket", "payload"])
 
 
@@ -346,12 +388,14 @@ def _apply(b: Block, s: Strings, answers: list[bytes]) -> tuple[np.ndarray, np.n
     values = np.concatenate([_longer(a) for a in answers]) if answers else np.zeros(0, np.int64)
     per = s.lengths - WINDOW + 1
     first = (np.cumsum(per) - per)[s.code]
-    at = np.arange(s.n.sum()) - np.repeat(np.cumsum(s.n) - s.n, s.n)
-    least = values[np.repeat(first, s.n) + at]
-    start = (np.repeat(s.first, s.n) + at)[least < np.repeat(b.ids[s.doc], s.n)]
     edge = np.zeros(len(b.data) + 1, np.int32)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + WINDOW, -1)
+    for x, y in _steps(s.n):
+        n = s.n[x:y]
+        least = values[_spread(first[x:y], n)]
+        start = _spread(s.first[x:y], n)[least < np.repeat(b.ids[s.doc[x:y]], n)]
+        # each window of the block is in one run, so no place comes twice
+        edge[start] += 1
+        edge[start + WINDOW] -= 1
     gone = np.cumsum(edge[:-1]) > 0
     begins = gone & ~np.append(False, gone[:-1])
     heads = (np.cumsum(b.sizes) - b.sizes)[b.sizes > 0]

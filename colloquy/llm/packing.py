@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import stage, table
-from colloquy.llm.tokens import slices, tokenizer, vocabulary_path
+from colloquy.llm.tokens import part, slices, tokenizer, vocabulary_path
 
 END_ID = 0
 CAPACITY = 2048
@@ -127,7 +127,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
         tok = tokenizer(vocabulary)
         for b in batches:
             for lo, hi in slices(b.column(1)):
-                ids, counts = tok.encode(b.column(1).slice(lo, hi - lo))
+                ids, counts = tok.encode(part(b.column(1), lo, hi))
                 ends = np.cumsum(counts)
                 rows = {k: [] for k in ("row", "piece", "start", "length", "crc")}
                 for k, (n, end) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True)):

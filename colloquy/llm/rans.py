@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import drop_stage, fresh_path, stage, table
 from colloquy.llm.shared_files import RangeReader, make_folder, write_new
-from colloquy.llm.tokens import slices, tokenizer, vocabulary_path
+from colloquy.llm.tokens import part, slices, tokenizer, vocabulary_path
 
 END_ID = 0
 LANES = 2048
@@ -112,7 +112,7 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col:
         tok = tokenizer(vocabulary)
         for b in batches:
             for lo, hi in slices(b.column(1)):
-                ids, counts = tok.encode(b.column(1).slice(lo, hi - lo))
+                ids, counts = tok.encode(part(b.column(1), lo, hi))
                 ends = np.cumsum(counts)
                 end = np.array([end_id], tok.dtype).tobytes()
                 raw = [ids[e - n : e].tobytes() + end for n, e in zip(counts.tolist(), ends.tolist(), strict=True)]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import table
-from colloquy.llm.tokens import slices, vocabulary_path
+from colloquy.llm.tokens import part, slices, vocabulary_path
 
 MARK = "\u2581"
 #: Words a worker remembers.
@@ -189,7 +189,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         enc = encoder(model)
         for b in batches:
             for lo, hi in slices(b.column(1)):
-                texts = b.column(1).slice(lo, hi - lo)
+                texts = part(b.column(1), lo, hi)
                 ids, counts = enc.encode(texts)
                 back = enc.decode(ids, counts)
                 same = [(t or "") == d for t, d in zip(texts.to_pylist(), back, strict=True)]

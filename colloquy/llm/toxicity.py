@@ -176,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         )
 
     got = rows.select("_t", "y", "_id").repartition(1).sortWithinPartitions("_id").select("_t", "y").mapInArrow(run, "name string, weight double").collect()
-    bias = next(r.weight for r in got if r.name is None)
+    # where Spark sees that no row is labelled, no task runs
+    bias = next((r.weight for r in got if r.name is None), -20.0)
     return Model({r.name: r.weight for r in got if r.name is not None}, bias)
 
 

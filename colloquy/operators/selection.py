@@ -42,9 +42,10 @@ def containing(docs: DataFrame, passages: DataFrame, doc_id: str, text: str, pas
     p = passages.select(F.col(passage).alias("p")).where("p is not null").distinct()
     long = p.where(F.size(inner) >= 7).select("p", F.array_join(F.slice(inner, 2, 5), " ").alias("key"))
     short = p.where(F.size(inner) < 7)
-    words = F.split(F.col("t"), r"\s+")
     d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where("t is not null")
-    keys = F.array_distinct(F.transform(F.slice(words, 5, F.greatest(F.size(words) - 4, F.lit(0))), lambda w, i: F.array_join(F.slice(words, i + 1, 5), " ")))
+    # the words are bound once: a lambda that split the text itself would do so for every word
+    runs = lambda words: F.transform(F.slice(words, 5, F.greatest(F.size(words) - 4, F.lit(0))), lambda w, i: F.array_join(F.slice(words, i + 1, 5), " "))
+    keys = F.array_distinct(F.flatten(F.transform(F.array(F.split(F.col("t"), r"\s+")), runs)))
     hits = d.select("id", F.explode(keys).alias("key")).join(long, "key").select("id", "p").distinct()
     exact = d.join(hits, "id").where(F.contains("t", "p")).select("id")
     few = short.agg(F.collect_list("p").alias("ps"))

@@ -11,11 +11,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, however often a lambda inside reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unit(v: Column) -> Column:
     """The vector over its norm; zeros where the norm is below 1e-8 or not finite."""
-    n = F.sqrt(dot(v, v))
-    ok = (n >= 1e-8) & ~F.isnan(n) & (n < float("inf"))
-    return F.transform(v, lambda x: F.when(ok, x.cast("double") / n).otherwise(0.0))
+
+    def scaled(n: Column) -> Column:
+        ok = (n >= 1e-8) & ~F.isnan(n) & (n < float("inf"))
+        return F.transform(v, lambda x: F.when(ok, x.cast("double") / n).otherwise(0.0))
+
+    return once(F.sqrt(dot(v, v)), scaled)
 
 
 def centroids(rows: DataFrame, key: str, vector: str, weight: Column | None = None) -> DataFrame:
@@ -35,8 +43,7 @@ def nearest(rows: DataFrame, vector: str, cents: DataFrame, key: str) -> DataFra
     broadcast only if Spark finds them small.
     """
     packed = cents.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("c")))).alias("_c"))
-    scored = F.transform(F.col("_c"), lambda c: F.struct(dot(unit(F.col(vector)), c["c"]).alias("s"), (-c["k"]).alias("k")))
-    best = F.array_max(scored)
+    best = once(unit(F.col(vector)), lambda u: F.array_max(F.transform(F.col("_c"), lambda c: F.struct(dot(u, c["c"]).alias("s"), (-c["k"]).alias("k")))))
     return rows.crossJoin(packed).withColumn("_b", best).withColumns({"nearest": -F.col("_b.k"), "similarity": F.col("_b.s")}).drop("_b", "_c")
 
 

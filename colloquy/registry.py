@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from colloquy.plans import catalog
+from colloquy.plans import catalog, records
 
 
 def queries() -> dict:
-    return dict(catalog.QUERIES)
+    return catalog.QUERIES | records.QUERIES
 
 
 def oracle_sql() -> dict:
-    return dict(catalog.SQL)
+    return catalog.SQL | records.SQL

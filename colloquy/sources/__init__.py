@@ -1 +1 @@
-
+"""Readers of manifests, generated transcripts and side tables."""

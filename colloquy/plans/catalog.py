@@ -280,7 +280,7 @@ def timestamp_mae(spark, d):
 
 
 def link_speakers(spark, d):
-    e = _t(spark, d, "embeddings").select((F.col("vec_id") % 20).alias("rec"), "vec_id", F.lit(5.0).alias("sec"), "embedding")
+    e = _t(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).cast("bigint").alias("rec"), "vec_id", F.lit(5.0).alias("sec"), "embedding")
     return vectors.link_speakers(e, "rec", "vec_id", "sec", "embedding")
 
 

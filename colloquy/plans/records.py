@@ -12,6 +12,8 @@ from colloquy.sources import generated, manifests, tables
 from colloquy.streaming import speakers
 
 WINDOW_MS, OVERLAP_MS = 60_000, 20_000
+#: Vectors of one made-up recording, so that their number grows with the table.
+RECORDING = 100
 
 
 def _label() -> Column:
@@ -90,8 +92,8 @@ def source_overlay(spark, d):
 
 
 def registry_labels(spark, d):
-    """The first 4 dimensions of each vector as the voice of one window; 16 recordings."""
-    e = _t(spark, d, "embeddings").select((F.col("vec_id") % 16).alias("rec"), "vec_id", F.slice("embedding", 1, 4).alias("v"))
+    """Each whole vector as the voice of one window; recordings of ``RECORDING`` windows."""
+    e = _t(spark, d, "embeddings").select(F.floor(F.col("vec_id") / RECORDING).cast("bigint").alias("rec"), "vec_id", F.col("embedding").alias("v"))
     return speakers.label_windows(e, "rec", "vec_id", "v")
 
 

@@ -193,3 +193,25 @@ def test_stitched_windows_restore_the_turns(spark, sf_dir, name):
     assert heard <= want | {(r.conv_id, r.start) for r in plans.segments(spark, sf_dir).collect()}
     last = {r.conv_id: r.end for r in segs.groupBy("conv_id").agg(F.max("end").alias("end")).collect()}
     assert {c for c, _ in heard} >= set(last)
+
+
+def test_registry_query_agrees_with_a_fold_over_whole_vectors(spark, sf_dir):
+    from colloquy.plans import catalog, records
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    unit = lambda v: [x / max(sum(y * y for y in v) ** 0.5, 1e-300) for x in v]
+    known, want = {}, {}
+    for r in rows:
+        voices, v = known.setdefault(r.vec_id // 100, []), list(r.embedding)
+        score = [sum(a * b for a, b in zip(c, unit(v), strict=True)) for c in voices]
+        best = max(range(len(score)), key=score.__getitem__, default=-1)
+        if best >= 0 and score[best] >= 0.6:
+            voices[best] = unit([0.9 * a + 0.1 * b for a, b in zip(voices[best], v, strict=True)])
+        else:
+            best = len(voices)
+            voices.append(unit(v))
+        want[r.vec_id] = (r.vec_id // 100, f"SPEAKER_{best}", False)
+    got = {r.window: (r.rec, r.speaker, r.late) for r in records.registry_labels(spark, sf_dir).collect()}
+    assert got == want
+    sizes = catalog.link_speakers(spark, sf_dir).groupBy("rec").count().collect()
+    assert len(sizes) == len(known) and max(r["count"] for r in sizes) <= 100

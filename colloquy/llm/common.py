@@ -13,11 +13,15 @@ _fallback: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder stands in.
+    A session on one machine (``local[...]``, as in tests) that names none gets a temporary
+    folder; on a cluster a missing setting is an error, for parts left on machines of their
+    own would read back incomplete.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="colloquy-"))
     return _fallback[0]

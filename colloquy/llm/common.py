@@ -43,13 +43,16 @@ def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    jvm, sc = spark._jvm, spark.sparkContext
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
-    path = getattr(df, "_colloquy_path", None)
-    if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    if path := getattr(df, "_colloquy_path", None):
+        drop_folder(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

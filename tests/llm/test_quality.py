@@ -23,10 +23,11 @@ def base(t):
 
 
 def grams(t, buckets):
-    h = lambda w, seed=42: xxhash.xxh64_intdigest(w.encode(), seed)
+    h = lambda w, seed=42: xxhash.xxh64_intdigest(w, seed)
+    raw = lambda w: h(w.encode()).to_bytes(8, "little")
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     w = words(t)
-    return [signed(h(x)) % buckets for x in w] + [signed(h(b, h(a))) % buckets for a, b in zip(w, w[1:], strict=False)]
+    return [signed(h(x.encode())) % buckets for x in w] + [signed(h(raw(b), h(raw(a)))) % buckets for a, b in zip(w, w[1:], strict=False)]
 
 
 ROWS = [*edge_rows(), (20, "same line here\nsame line here\nother | # $ % line\n\nsame line here"), (21, prose(8, 60) + " # & <b>")]
@@ -67,3 +68,13 @@ def test_no_trusted_rows_and_no_rows(spark):
 def test_plan_has_no_python(spark, sf_dir):
     plan = q.op3_quality(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_query_agrees_with_brute_force_on_whole_texts(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    out = q.op3_quality(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    for r in out:
+        n, *rest = base(docs[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, *rest)
+        assert r.base_failed == (n < 50 or 100 * rest[3] > 50 * n) and r.kept == (not r.base_failed and r.llr >= q.THRESHOLD)

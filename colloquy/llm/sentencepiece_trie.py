@@ -132,7 +132,8 @@ class TrieEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and how many each text has."""
-        split = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
+        # a mark written out in a text is a blank to the library
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), MARK, " "), " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
         parts = split.flatten()
         filled = pc.not_equal(parts, "").to_numpy(zero_copy_only=False)
@@ -181,7 +182,8 @@ def encoder(path: str) -> TrieEncoder:
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """``(doc_id, n_ids, ids_crc32, decoded_same[, ids])`` for every row.
 
-    Null and empty texts have no ids.  decoded_same: decoding the ids gives the text back (a
+    Null and empty texts have no ids; repeated rows and rows with a null id stay, long texts
+    are encoded whole, and other columns are not read.  decoded_same: decoding the ids gives the text back (a
     text that holds the word mark itself does not come back, as in the library).
     """
 
@@ -212,4 +214,5 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_ids, ids_crc32, decoded_same)`` of every document."""
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"), with_ids=False)

@@ -3,12 +3,14 @@
 The byte-level pre-tokenizer never joins a blank with what stands before it when a visible
 character follows, so such a text may be cut before each blank and its words encoded apart.
 Words are dictionary-encoded per Arrow batch and each distinct word goes to the tokenizer
-once per worker; texts with runs of white space are encoded whole.  Ids are the same.
+once per worker; texts with runs of white space or with a special token written out are
+encoded whole.  Ids are the same as the library's for the whole text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        #: Special tokens that the library finds in a text, as one pattern.
+        self.special = "|".join(re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values())
         vocab = self.lib.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
@@ -61,7 +64,8 @@ class WordTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and how many each text has."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, _RUNS).to_numpy(zero_copy_only=False)
+        pattern = f"{_RUNS}|{self.special}" if self.special else _RUNS
+        odd = pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
         if odd.any():
             counts = np.zeros(len(texts), np.int64)
             plain_ids, counts[~odd] = self._by_word(texts.filter(pa.array(~odd)))

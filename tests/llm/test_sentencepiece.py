@@ -41,3 +41,21 @@ def test_random_words(words):
     want = library().encode(text)
     assert ids.tolist() == want + want and counts.tolist() == [len(want), 0, len(want)]
     assert sp.encoder(MODEL).decode(ids, counts) == [text, "", text]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab c\u2581\u00e9\u65e5", max_size=12))
+def test_texts_with_the_mark_itself(text):
+    import pyarrow as pa
+
+    ids, counts = sp.encoder(MODEL).encode(pa.array([text]))
+    assert ids.tolist() == library().encode(text) and counts.tolist() == [len(ids)]
+
+
+def test_the_query_agrees_with_the_library(spark, sf_dir):
+    lib = library()
+    want = {r.doc_id: lib.encode(r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    out = sp.op10_sentencepiece(spark, sf_dir)
+    assert out.dtypes == [("doc_id", "bigint"), ("n_ids", "bigint"), ("ids_crc32", "bigint"), ("decoded_same", "boolean")]
+    got = {r.doc_id: (r.n_ids, r.ids_crc32) for r in out.collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}

@@ -76,3 +76,13 @@ def test_empty_table_and_no_edges(spark):
 def test_long_chain_is_one_component(spark):
     e = spark.range(0, 500).selectExpr("id + 1 as a", "id as b")
     assert {r.component for r in connected_components(e).collect()} == {0}
+
+
+def test_the_query_on_the_whole_table(spark, sf_dir):
+    docs = sorted((r.doc_id, fingerprint(r.text)) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    roots, least = components([c for _, c in docs]), {}
+    for (i, _), r in zip(docs, roots, strict=True):
+        least.setdefault(r, i)
+    out = sh.op8_simhash(spark, sf_dir)
+    assert out.columns == ["doc_id", "fingerprint", "component_id"]
+    assert sorted(tuple(r) for r in out.collect()) == [(i, f"{c:016x}", least[r]) for (i, c), r in zip(docs, roots, strict=True)]

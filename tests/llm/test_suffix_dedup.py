@@ -72,3 +72,10 @@ def test_merge_gives_sorted_rotations_and_prefixes(shard_bytes):
 def test_stable_order_of_wide_numbers():
     x = np.random.default_rng(1).integers(0, 1 << 20, 5000).astype(np.uint32) // 7
     assert (bwt._stable(x) == np.argsort(x, kind="stable")).all()
+
+
+def test_the_query_on_the_whole_table(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    out = sd.op2_suffix_dedup(spark, sf_dir)
+    assert out.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    assert got(out) == brute(rows)

@@ -1,9 +1,10 @@
+import functools
 import zlib
 
 import numpy as np
 from colloquy.llm import packing, rans
 from colloquy.llm.common import fresh_path
-from colloquy.llm.tokens import vocabulary_path
+from colloquy.llm.tokens import tokenizer, vocabulary_path
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -12,12 +13,15 @@ from tests.llm.helpers import edge_rows, empty, frame
 ODD = [(40, "tabs\tand  two blanks\n\nlines "), (41, " starts and ends blank "), (42, "日本語 text 🎉 mixed <|endoftext|>"), (43, "　wide　space x")]
 
 
-def library_ids(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(vocabulary_path())
-    tok.encode_special_tokens = True
-    return [*tok.encode(text or "", add_special_tokens=False).ids, 0]
+    return Tokenizer.from_file(vocabulary_path())
+
+
+def library_ids(text):
+    return [*library().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def crc(ids):
@@ -111,3 +115,41 @@ def test_exact_complements_fill_their_gaps():
     for length in (60, 40, 70, 20, 10, 55, 25, 15, 5):
         counts[length] += 3
     assert sum(m for _, m in packing.plan_bins(counts, 100)) == 9
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "word", " ", "  ", "<|endoftext|>", "\n", "é", "日本", "12", "\t", "'s", "▁", "\u00a0"]), max_size=12))
+def test_any_text_gives_the_library_s_ids(parts):
+    import pyarrow as pa
+
+    texts = ["".join(parts), "plain words here", "".join(reversed(parts))]
+    ids, counts = tokenizer(vocabulary_path()).encode(pa.array(texts))
+    want = [library_ids(t)[:-1] for t in texts]
+    assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
+
+
+def test_the_queries_on_whole_tables(spark, sf_dir):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    out = rans.op6_token_files(spark, sf_dir)
+    assert out.dtypes == [("doc_id", "bigint"), ("start", "bigint"), ("n_tokens", "bigint"), ("ids_crc32", "bigint")]
+    at, want = 0, []
+    for i, t in docs:
+        ids = library_ids(t)
+        want.append((i, at, len(ids), crc(ids)))
+        at += len(ids)
+    assert sorted(tuple(r) for r in out.collect()) == want
+    out = packing.op7_packing(spark, sf_dir)
+    assert dict(out.dtypes) == {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"}
+    pieces = out.collect()
+    n = check_packing(pieces, docs, 2048)
+    assert n <= -(-sum(p.length for p in pieces) // 2048) * 1.05 + 1
+
+
+def test_repeated_rows_and_null_ids_are_packed_too(spark):
+    rows = [(None, "a b"), (None, "a b"), (5, "c"), (5, "c"), (6, None)]
+    out = packing.pack_documents(frame(spark, rows), capacity=16).collect()
+    assert sorted(p.length for p in out) == sorted(len(library_ids(t)) for _, t in rows)
+    assert sum(p.doc_id is None for p in out) == 2 and len({(p.sequence_id, p.offset) for p in out}) == 5
+    manifest, freq = rans.token_files(frame(spark, rows), fresh_path(spark, "t"))
+    got = rans.read_files(manifest, freq).collect()
+    assert sorted(r.n_tokens for r in got) == sorted(len(library_ids(t)) for _, t in rows)

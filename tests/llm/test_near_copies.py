@@ -55,3 +55,20 @@ def components(pairs, n):
         x, y = find(a), find(b)
         up[max(x, y)] = min(x, y)
     return [find(x) for x in range(n)]
+
+
+def test_sketches_never_reject_a_similar_pair():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    sets, similar = [], []
+    for size in (3, 40, 90, 400, 12_000):
+        base = np.unique(r.integers(0, 1 << 63, size).astype(np.uint64))
+        for share in (0.0, 0.05, 0.1, 0.2, 0.5):
+            new = np.unique(r.integers(0, 1 << 63, size).astype(np.uint64))
+            sets += [base, np.unique(np.where(r.random(len(base)) < share, new[: len(base)], base))]
+            similar.append(nc.similar(sets[-2], sets[-1]))
+    n, sk = np.array([len(x) for x in sets]), np.array([nc.sketch(x) for x in sets])
+    x = np.arange(0, len(sets), 2)
+    got = nc.may_be_similar(n, sk, x, x + 1)
+    assert all(g for g, s in zip(got, similar, strict=True) if s) and not got.all()

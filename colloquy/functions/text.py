@@ -17,6 +17,8 @@ TOKEN = f"[{CJK}]|[{LATIN}]+(?:['’][{LATIN}]+)*|[0-9]+"
 PERCENT = r"\d+(?:\.\d+)?%"
 AMOUNT = r"\d+(?:\.\d+)?\s*[萬億千]"
 DATE = r"\d{1,2}/\d{1,2}|週[一二三四五六日]|[一二三四五六七八九十]+月"
+# a bare number: not inside a word, not before a colon
+NUMBER = r"(?<![A-Za-z\d])\d+(?:\.\d+)?(?!:)"
 TIME_MARK = r"\[\s*\d+(?:\.\d+)?\s*\]"
 SPEAKER_MARK = r"\[S\d+\]|\bS\d+\s*[:：]"
 
@@ -24,40 +26,93 @@ SPEAKER_MARK = r"\[S\d+\]|\bS\d+\s*[:：]"
 def folded(text: Column) -> Column:
     """Compatibility-composed form (full-width letters and digits become plain ones).
 
-    ASCII and Latin-1 texts are left to the JVM; only others cross to Python.
+    Only texts with a character beyond ASCII cross to Python; for others a null goes.
     """
 
     @F.pandas_udf("string")
     def nfkc(s):
         return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    return nfkc(text)
+    return F.coalesce(nfkc(F.when(F.regexp_like(text, F.lit("[^\\x00-\\x7F]")), text)), text)
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased tokens in order; null and empty texts have none."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    """Lower-cased tokens of the folded text in order; null and empty texts have none."""
+    return F.regexp_extract_all(F.lower(folded(F.coalesce(text, F.lit("")))), F.lit(TOKEN), F.lit(0))
+
+
+#: Digits, blanks and word edges are meant in all scripts, which Java must be told.
+_ALL = "(?U)"
 
 
 def without_markup(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, TIME_MARK, " "), SPEAKER_MARK, " ")
+    return F.regexp_replace(F.regexp_replace(text, _ALL + TIME_MARK, " "), _ALL + SPEAKER_MARK, " ")
 
 
 def salient_facts(text: Column) -> Column:
-    """Distinct percentages, amounts and dates, blanks inside removed, sorted."""
-    found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (PERCENT, AMOUNT, DATE)]
+    """Distinct percentages, amounts and dates, blanks inside removed, sorted; null text: none."""
+    text = F.coalesce(text, F.lit(""))
+    found = [F.regexp_extract_all(text, F.lit(_ALL + p), F.lit(0)) for p in (PERCENT, AMOUNT, DATE)]
     return F.array_sort(F.array_distinct(F.transform(F.concat(*found), lambda x: F.replace(x, F.lit(" "), F.lit("")))))
 
 
-def loops(items: Column, n: int = 3, least: int = 4) -> Column:
-    """Whether ``least`` or more consecutive places repeat the n items before them."""
-    flags = F.transform(
-        F.sequence(F.lit(n), F.greatest(F.size(items) - n, F.lit(n))),
-        lambda i: F.when(
-            (i + n <= F.size(items)) & (F.slice(items, i + 1, n) == F.slice(items, i - n + 1, n)), F.lit("1")
-        ).otherwise("0"),
+def all_facts(text: Column) -> Column:
+    """Salient facts outside of markup, and bare numbers that are no part of them, sorted.
+
+    A number counts as part of a fact if the facts in sorted order, written without a gap,
+    hold it.
+    """
+    plain = without_markup(F.coalesce(text, F.lit("")))
+    numbers = F.array_distinct(F.regexp_extract_all(plain, F.lit(_ALL + NUMBER), F.lit(0)))
+    facts = salient_facts(plain)
+    return F.array_sort(F.array_union(facts, F.filter(numbers, lambda x: ~F.contains(F.array_join(facts, ""), x))))
+
+
+def fidelity(transcript: Column, summary: Column) -> Column:
+    """``struct(hallucinated, covered, missed, hallucination_rate, coverage)`` of a summary.
+
+    Facts of the summary that the transcript has not; salient facts of the transcript with and
+    without a place in the summary.  No facts in the summary: rate 0; none salient: coverage 1.
+    """
+    own, said, salient = all_facts(summary), all_facts(transcript), salient_facts(transcript)
+    wrong, held = F.array_except(own, said), F.array_intersect(salient, own)
+    return F.struct(
+        F.array_sort(wrong).alias("hallucinated"),
+        F.array_sort(held).alias("covered"),
+        F.array_sort(F.array_except(salient, own)).alias("missed"),
+        F.when(F.size(own) > 0, F.size(wrong) / F.size(own)).otherwise(0.0).alias("hallucination_rate"),
+        F.when(F.size(salient) > 0, F.size(held) / F.size(salient)).otherwise(1.0).alias("coverage"),
     )
-    return F.contains(F.array_join(flags, ""), F.lit("1" * least))
+
+
+def loops(items: Column, n: int = 3, least: int = 4) -> Column:
+    """Whether ``least`` or more consecutive places repeat the n items before them.
+
+    So many places in a row do so if ``n + least - 1`` items in a row equal the item n before.
+    """
+
+    def run(held: Column) -> Column:
+        later = F.slice(held, n + 1, F.greatest(F.size(held) - n, F.lit(0)))
+        earlier = F.slice(held, 1, F.greatest(F.size(held) - n, F.lit(0)))
+        return F.array_join(F.zip_with(earlier, later, lambda x, y: F.when(x == y, "1").otherwise("0")), "")
+
+    # the items are bound once: split inside a lambda they would be split again for each
+    return F.contains(F.get(F.transform(F.array(items), run), F.lit(0)), F.lit("1" * (n + least - 1)))
+
+
+def cleaned(text: Column) -> Column:
+    """White space of any script inside made single blanks, none at the ends."""
+    return F.trim(F.regexp_replace(text, _ALL + r"\s+", " "))
+
+
+def family(name: Column) -> Column:
+    """A layer's name without the number after a dot or hash."""
+    return F.regexp_replace(name, r"([.#])\d+(?=\.|$)", "$1*")
+
+
+def id_number(label: Column) -> Column:
+    """The number at a label's end; null where there is none."""
+    return F.nullif(F.regexp_extract(label, r"(\d+)$", 1), F.lit("")).cast("long")
 
 
 def joined(a: Column, b: Column) -> Column:

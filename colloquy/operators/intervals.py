@@ -52,13 +52,3 @@ def sustained_start(rows: DataFrame, keys: list[str], time: str, within: int, le
     return n.groupBy(*keys).agg(
         F.coalesce(F.greatest(F.min(F.when(F.col("_n") >= least, F.col(time))) - lead, F.lit(0)), F.min(time)).alias("start")
     )
-
-
-def window_starts(duration: float, size: float, overlap: float) -> list[float]:
-    """Starts of hopping windows until the duration is covered."""
-    out, at = [], 0.0
-    while True:
-        out.append(at)
-        if at + size >= duration - 1e-6:
-            return out
-        at += size - overlap

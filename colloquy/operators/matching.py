@@ -1,4 +1,4 @@
-"""One-to-one matching: optimal assignment and greedy segment pairs."""
+"""One-to-one matching: optimal assignment."""
 
 from __future__ import annotations
 
@@ -42,16 +42,3 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
             owner[at] = owner[before] if before >= 0 else row
             at = before
     return sorted((int(r), c) for c, r in enumerate(owner) if r >= 0)
-
-
-def greedy_pairs(score: np.ndarray, tie: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Pairs with score above ``least``, best first (then smaller tie, row, column), each once."""
-    i, j = np.nonzero(score > least)
-    order = np.lexsort((j, i, tie[i, j], -score[i, j]))
-    rows, cols, out = set(), set(), []
-    for k in order:
-        a, b = int(i[k]), int(j[k])
-        if a not in rows and b not in cols:
-            rows.add(a), cols.add(b)
-            out.append((a, b))
-    return out

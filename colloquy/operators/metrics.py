@@ -10,13 +10,13 @@ matrix of a recording is solved in Python.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.edits import edit_distance, rate
 from colloquy.functions.text import tokens
-from colloquy.operators.intervals import frames
-from colloquy.operators.matching import assign, greedy_pairs
+from colloquy.operators.intervals import islands, overlaps
+from colloquy.operators.matching import assign
 
 
 def mixed_error_rate(ref: DataFrame, hyp: DataFrame, key: str) -> DataFrame:
@@ -77,36 +77,67 @@ def cpwer(ref: DataFrame, hyp: DataFrame, key: str) -> DataFrame:
     )
 
 
-def speaker_frames(segments: DataFrame, key: str, step: int) -> DataFrame:
-    """Distinct ``(key, speaker, frame)`` of speech, in frames of ``step`` ms."""
-    return segments.select(key, "speaker", F.explode(frames(F.col("start"), F.col("end"), step)).alias("frame")).distinct()
+def frame_ranges(segments: DataFrame, key: str, step: int) -> DataFrame:
+    """``(key, speaker, start, end)``: runs of frames of ``step`` ms whose centre a speaker's
+    segments cover, from the first to before the last; runs that meet are one."""
+    half = step // 2
+    at = lambda t: F.ceil((F.col(t) - half) / step).cast("long").alias(t)
+    rows = segments.select(key, "speaker", at("start"), at("end")).where("start < end")
+    runs = islands(rows, [key, "speaker"], "start", "end", 1)
+    return runs.groupBy(key, "speaker", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def _swept(sides: dict[str, DataFrame], key: str) -> DataFrame:
+    """Stretches between neighbouring edges of a key: frames and how many runs of each side hold."""
+    edges = None
+    for name, runs in sides.items():
+        for at, sign in (("start", 1), ("end", -1)):
+            new = runs.select(key, F.col(at).alias("at"), *(F.lit(sign if n == name else 0).alias(n) for n in sides))
+            edges = new if edges is None else edges.union(new)
+    order = Window.partitionBy(key).orderBy("at")
+    by = edges.groupBy(key, "at").agg(*(F.sum(n).alias(n) for n in sides))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    return by.select(key, *(F.sum(n).over(upto).alias(n) for n in sides), (F.lead("at").over(order) - F.col("at")).alias("frames")).where("frames > 0")
+
+
+#: Frames of a bin in which runs of two speakers meet.
+_BIN = 6000
 
 
 def speaker_errors(ref: DataFrame, hyp: DataFrame, key: str, step: int = 10, collar: int = 250) -> DataFrame:
     """``(key, ref_frames, hyp_frames, der, consistency)`` per recording of the reference.
 
-    The collar takes frames whose centre lies less than ``collar`` ms from a reference
+    Frames of ``step`` ms are counted by stretches between edges of segments, never one by
+    one.  The collar takes frames whose centre lies less than ``collar`` ms from a reference
     boundary out of the error rate, not out of the consistency.
     """
-    r, h = speaker_frames(ref, key, step), speaker_frames(hyp, key, step)
     half = step // 2
+    r, h = frame_ranges(ref, key, step), frame_ranges(hyp, key, step)
     edge = ref.select(key, F.explode(F.array("start", "end")).alias("at"))
-    near = edge.select(key, F.explode(F.sequence(F.floor((F.col("at") - collar - half) / step) + 1, F.ceil((F.col("at") + collar - half) / step) - 1)).alias("frame")).distinct() if collar else None
-    keep = lambda x: x.join(near, [key, "frame"], "left_anti") if collar else x
-
-    def side(r, h, names):
-        nr = r.groupBy(key, "frame").agg(F.count("*").alias("nr"))
-        nh = h.groupBy(key, "frame").agg(F.count("*").alias("nh"))
-        by = nr.join(nh, [key, "frame"], "full").na.fill(0)
-        total = by.groupBy(key).agg(F.sum("nr").alias("nr"), F.sum("nh").alias("nh"), F.sum(F.greatest("nr", "nh")).alias("most"))
-        pairs = (
-            r.withColumnRenamed("speaker", "a").join(h.withColumnRenamed("speaker", "b"), [key, "frame"]).groupBy(key, "a", "b").agg(F.count("*").alias("n"))
-        )
-        return total.join(best_total(pairs, key, "n", True, "best"), key, "left").na.fill(0, ["best"]).select(key, *(F.col(c).alias(n) for c, n in zip(("nr", "nh", "most", "best"), names, strict=True)))
-
-    whole = side(r, h, ("ref_frames", "hyp_frames", "_m", "_best"))
-    inner = side(keep(r), keep(h), ("_nr", "_nh", "_most", "_inner"))
-    z = ref.select(key).distinct().join(whole, key, "left").join(inner, key, "left").na.fill(0)
+    near = edge.select(
+        key,
+        F.lit("").alias("speaker"),
+        (F.floor((F.col("at") - collar - half) / step) + 1).alias("start"),
+        F.ceil((F.col("at") + collar - half) / step).cast("long").alias("end"),
+    ).where("start < end")
+    merged = islands(near, [key], "start", "end", 1).groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    s = _swept({"nr": r, "nh": h, "nc": merged}, key)
+    inside = F.when(F.col("nc") == 0, F.col("frames")).otherwise(0)
+    total = s.groupBy(key).agg(
+        F.sum(F.col("nr") * F.col("frames")).alias("ref_frames"),
+        F.sum(F.col("nh") * F.col("frames")).alias("hyp_frames"),
+        F.sum(F.col("nr") * inside).alias("_nr"),
+        F.sum(F.col("nh") * inside).alias("_nh"),
+        F.sum(F.greatest("nr", "nh") * inside).alias("_most"),
+    )
+    both = overlaps(r.withColumnRenamed("speaker", "a_id"), h.withColumnRenamed("speaker", "b_id"), [key], _BIN)
+    both = both.select(key, F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.greatest("s1", "s2").alias("start"), F.least("e1", "e2").alias("end"), "overlap")
+    cut = overlaps(both.withColumn("a_id", F.struct("a", "b")), merged.withColumn("b_id", F.lit(0)), [key], _BIN)
+    lost = cut.groupBy(key, F.col("a_id.a").alias("a"), F.col("a_id.b").alias("b")).agg(F.sum("overlap").alias("lost"))
+    pairs = both.groupBy(key, "a", "b").agg(F.sum("overlap").alias("n")).join(lost, [key, "a", "b"], "left")
+    pairs = pairs.withColumn("inner", F.col("n") - F.coalesce("lost", F.lit(0)))
+    z = ref.select(key).distinct().join(total, key, "left")
+    z = z.join(best_total(pairs, key, "n", True, "_best"), key, "left").join(best_total(pairs, key, "inner", True, "_inner"), key, "left").na.fill(0)
     return z.select(
         key, "ref_frames", "hyp_frames",
         F.when(F.col("_nr") == 0, F.when(F.col("_nh") == 0, 0.0).otherwise(1.0)).otherwise((F.col("_most") - F.col("_inner")) / F.col("_nr")).alias("der"),
@@ -114,33 +145,113 @@ def speaker_errors(ref: DataFrame, hyp: DataFrame, key: str, step: int = 10, col
     )
 
 
+def speaker_map(ref: DataFrame, hyp: DataFrame, key: str) -> DataFrame:
+    """``(key, speaker, mapped)``: hypothesis speakers to the reference speakers they share most time with.
+
+    One to one and of greatest total overlap; a speaker who shares nothing has no row.
+    """
+    cols = [key, "start", "end"]
+    o = overlaps(ref.select(*cols, F.col("speaker").alias("a_id")), hyp.select(*cols, F.col("speaker").alias("b_id")), [key], 60_000)
+    pairs = o.groupBy(key, F.col("a_id").alias("a"), F.col("b_id").alias("b")).agg(F.sum("overlap").alias("n"))
+
+    def run(pdf):
+        import pandas as pd
+
+        m = pdf.pivot_table(index="a", columns="b", values="n", aggfunc="sum", fill_value=0)
+        rows = [(pdf[key].iloc[0], m.columns[c], m.index[r]) for r, c in assign(-m.to_numpy(float)) if m.iat[r, c] > 0]
+        return pd.DataFrame(rows, columns=[key, "speaker", "mapped"])
+
+    return pairs.groupBy(key).applyInPandas(run, f"{key} {dict(ref.dtypes)[key]}, speaker string, mapped string")
+
+
 def timestamp_error(ref: DataFrame, hyp: DataFrame, key: str, least: float = 0.5) -> DataFrame:
     """``(key, matched, unmatched, mae_ms)``: mean of start and end differences of greedy pairs.
 
-    Segments may pair if speakers are equal and token sets more than ``least`` alike.
+    Hypothesis speakers are mapped to reference speakers first.  Segments may pair if their
+    speakers are the same and their token sets more than ``least`` alike; candidates are found
+    by a shared token (or by having none), and only those above ``least`` reach the greedy
+    choice of a recording.
     """
+    names = speaker_map(ref, hyp, key)
+    h = hyp.join(names, [key, "speaker"], "left").withColumn("speaker", F.coalesce("mapped", F.concat(F.lit("\u0000"), "speaker"))).drop("mapped")
+
+    def side(rows: DataFrame, tag: str) -> DataFrame:
+        words = F.array_sort(F.array_distinct(tokens(F.col("text"))))
+        return rows.select(key, "speaker", F.col("pos").alias(f"pos_{tag}"), F.col("start").alias(f"s_{tag}"), F.col("end").alias(f"e_{tag}"), words.alias(f"w_{tag}"))
+
+    a, b = side(ref, "a"), side(h, "b")
+    by_word = lambda x, w: x.withColumn("_w", F.explode(F.when(F.size(w) > 0, F.col(w)).otherwise(F.array(F.lit("")))))
+    shared = by_word(a, "w_a").select(key, "speaker", "_w", "pos_a", F.size("w_a").alias("n_a")).join(
+        by_word(b, "w_b").select(key, "speaker", "_w", "pos_b", F.size("w_b").alias("n_b")), [key, "speaker", "_w"]
+    )
+    both = shared.groupBy(key, "pos_a", "pos_b").agg(F.count("*").alias("n"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    score = F.when(F.col("n_a") + F.col("n_b") == 0, 1.0).otherwise(F.col("n") / F.greatest(F.col("n_a") + F.col("n_b") - F.col("n"), F.lit(1)))
+    near = both.withColumn("score", score).where(F.col("score") > least)
+    near = near.join(a.select(key, "pos_a", "s_a", "e_a"), [key, "pos_a"]).join(b.select(key, "pos_b", "s_b", "e_b"), [key, "pos_b"])
 
     def run(pdf):
         import pandas as pd
 
-        a, b = (pdf[pdf["side"] == s].sort_values("pos") for s in (0, 1))
-        sets = [[set(t) for t in x["tokens"]] for x in (a, b)]
-        score = np.array([[(len(p & q) / len(p | q) if p | q else 1.0) if s == t else 0.0 for q, t in zip(sets[1], b["speaker"], strict=True)] for p, s in zip(sets[0], a["speaker"], strict=True)]).reshape(len(a), len(b))
-        s1, s2 = a["start"].to_numpy(), b["start"].to_numpy()
-        pairs = greedy_pairs(score, np.abs(s1[:, None] - s2[None, :]), least)
-        gaps = [abs(s1[i] - s2[j]) for i, j in pairs] + [abs(a["end"].to_numpy()[i] - b["end"].to_numpy()[j]) for i, j in pairs]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "matched": [len(pairs)], "unmatched": [len(a) - len(pairs)], "mae_ms": [float(np.mean(gaps)) if gaps else 0.0]})
+        pdf = pdf.assign(gap=(pdf["s_a"] - pdf["s_b"]).abs()).sort_values(["score", "gap", "pos_a", "pos_b"], ascending=[False, True, True, True])
+        rows, cols, gaps = set(), set(), []
+        for x in pdf.itertuples():
+            if x.pos_a not in rows and x.pos_b not in cols:
+                rows.add(x.pos_a)
+                cols.add(x.pos_b)
+                gaps += [abs(x.s_a - x.s_b), abs(x.e_a - x.e_b)]
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "matched": [len(rows)], "mae_ms": [float(np.mean(gaps))]})
 
-    cols = [key, "speaker", "pos", "start", "end", tokens(F.col("text")).alias("tokens")]
-    both = ref.select(F.lit(0).alias("side"), *cols).union(hyp.select(F.lit(1).alias("side"), *cols))
-    return both.groupBy(key).applyInPandas(run, f"{key} {dict(ref.dtypes)[key]}, matched long, unmatched long, mae_ms double")
+    got = near.groupBy(key).applyInPandas(run, f"{key} {dict(ref.dtypes)[key]}, matched long, mae_ms double")
+    n = ref.groupBy(key).agg(F.count("*").alias("n")).join(got, key, "left").na.fill(0)
+    return n.select(key, "matched", (F.col("n") - F.col("matched")).alias("unmatched"), "mae_ms")
+
+
+def weight_of(column: str):
+    """A weight that is not positive counts as 1."""
+    return F.when(F.col(column) > 0, F.col(column)).otherwise(1.0)
 
 
 def gate(metrics: DataFrame, slices: list[str], value: str, weight: str, limit: float) -> DataFrame:
     """Weighted means of a metric over all rows and each slice, and whether they pass.
 
-    A weight that is not positive counts as 1; means above the limit fail.
+    ``overall`` tells the total from a slice without a name.  Means above the limit fail, and
+    so does a slice without a value.
+    """
+    w = weight_of(weight)
+    by = metrics.withColumn("_w", w).rollup(*slices).agg(
+        (F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias("mean"), F.count("*").alias("n"), (F.grouping(slices[0]) == 1).alias("overall")
+    )
+    return by.withColumn("passed", F.coalesce(F.col("mean") <= limit, F.lit(False)))
+
+
+def record_metrics(ref: DataFrame, hyp: DataFrame, key: str) -> DataFrame:
+    """``(key, mer, cpwer, der, timestamp_mae)`` of each reference recording; none heard: the worst."""
+    one = lambda s: s.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "pos", "text"))), lambda x: x["text"]), " ").alias("text"))
+    out = mixed_error_rate(one(ref), one(hyp), key).select(key, "mer")
+    out = out.join(cpwer(ref, hyp, key).select(key, "cpwer"), key, "left")
+    out = out.join(speaker_errors(ref, hyp, key).select(key, "der"), key, "left")
+    return out.join(timestamp_error(ref, hyp, key).select(key, (F.col("mae_ms") / 1000).alias("timestamp_mae")), key, "left")
+
+
+def run_gates(metrics: DataFrame, limits: dict[str, float], weight: str, slice_col: str) -> DataFrame:
+    """``(gate, value, limit, n, passed)`` of each threshold.
+
+    A threshold is named after a metric, or ``<slice>_<metric>`` for the rows of one slice; a
+    slice that no row has is left out.  Values are weighted means.  Without any row every
+    overall gate fails.
     """
-    w = F.when(F.col(weight) > 0, F.col(weight)).otherwise(1.0)
-    by = metrics.withColumn("_w", w).rollup(*slices).agg((F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias("mean"), F.count("*").alias("n"))
-    return by.withColumn("passed", F.col("mean") <= limit)
+    named = sorted((c for c in metrics.columns if c not in (weight, slice_col)), key=len, reverse=True)
+    rules = []
+    for name, limit in limits.items():
+        metric = next((m for m in named if name == m or name.endswith("_" + m)), None)
+        if metric:
+            rules.append((name, metric, None if name == metric else name[: -len(metric) - 1], float(limit)))
+    spark = metrics.sparkSession
+    table = spark.createDataFrame(rules, "gate string, metric string, slice string, limit double")
+    values = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in named)))
+    long = metrics.select(weight_of(weight).alias("_w"), F.col(slice_col).alias("_s"), values.alias("x")).select("_w", "_s", "x.*")
+    # the rules are the caller's and few, whatever the metrics
+    hit = long.join(F.broadcast(table), "metric").where("slice is null or slice = _s")
+    by = hit.groupBy("gate").agg((F.sum(F.col("v") * F.col("_w")) / F.sum("_w")).alias("value"), F.count("*").alias("n"))
+    out = table.join(by, "gate", "left").where("slice is null or n > 0")
+    return out.select("gate", "value", "limit", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("value") <= F.col("limit"), F.lit(False)).alias("passed"))

@@ -1,0 +1,113 @@
+"""Shaping of segments and records: filters on metadata, budgets, smoothing, densifying, merging."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def meta_value(meta: Column, name: str) -> Column:
+    """A field of a JSON text; null where the text is no JSON or has no such field."""
+    return F.get_json_object(meta, f"$.{name}")
+
+
+def confident(rows: DataFrame, meta: str, name: str, least: float) -> DataFrame:
+    """Rows whose metadata field is a number of ``least`` or more; without one they go."""
+    return rows.where(F.coalesce(meta_value(F.col(meta), name).try_cast("double") >= least, F.lit(False)))
+
+
+def matching(rows: DataFrame, wanted: dict[str, str], meta: str) -> DataFrame:
+    """Rows where every wanted name has its value, as a column or in the metadata."""
+    for name, value in wanted.items():
+        hit = F.coalesce(meta_value(F.col(meta), name) == value, F.lit(False))
+        if name in rows.columns:
+            hit |= F.coalesce(F.col(name).cast("string") == value, F.lit(False))
+        rows = rows.where(hit)
+    return rows
+
+
+def hms_seconds(text: Column) -> Column:
+    """Seconds of ``H:M:S``, ``M:S`` or ``S``; null for anything else."""
+    parts = F.split(text, ":")
+    total = F.aggregate(parts, F.lit(0.0), lambda s, x: s * 60 + x.try_cast("double"))
+    return F.when(F.regexp_like(text, F.lit(r"^\d+(:\d+){0,2}(\.\d+)?$")), total)
+
+
+def first_rule(name: Column, rules: list[tuple[str, str]], otherwise: Column) -> Column:
+    """The value of the first rule whose text the name holds."""
+    out = F.coalesce(*[F.when(F.contains(name, F.lit(k)), F.lit(v)) for k, v in rules], otherwise)
+    return out
+
+
+def budget_parts(rows: DataFrame, keys: list[str], order: list, seconds: str, budget: float) -> DataFrame:
+    """Adds ``used``: how much of each row a budget takes in order; the last one is cut."""
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.lit(budget) - F.coalesce(F.sum(seconds).over(before), F.lit(0))
+    return rows.withColumn("used", F.greatest(F.least(F.col(seconds), left), F.lit(0)))
+
+
+def smoothed(rows: DataFrame, keys: list[str], place: str, label: str, reach: int) -> DataFrame:
+    """``(keys, place, label)``: the commonest label among the rows ``reach`` places either side.
+
+    Places count from row to row; windows are shorter at the ends and ties go to the least
+    label.  Each row is sent to its neighbours, so nothing is collected by key.
+    """
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(place))
+    numbered = rows.select(*keys, place, label, n.alias("_n"))
+    near = numbered.select(*keys, label, F.explode(F.sequence(F.col("_n") - reach, F.col("_n") + reach)).alias("_n"))
+    votes = near.groupBy(*keys, "_n", label).agg(F.count("*").alias("_votes"))
+    best = votes.groupBy(*keys, "_n").agg(F.max(F.struct("_votes", (-F.col(label)).alias("least"))).alias("_best"))
+    return numbered.drop(label).join(best, [*keys, "_n"]).select(*keys, place, (-F.col("_best.least")).alias(label))
+
+
+def merged_regions(rows: DataFrame, keys: list[str], start: str, end: str, label: str, gap: int) -> DataFrame:
+    """Neighbouring rows of one label whose gap is ``gap`` or less, as one region."""
+    order = Window.partitionBy(*keys).orderBy(start, end, label)
+    goes_on = (F.lag(label).over(order) == F.col(label)) & (F.col(start) <= F.lag(end).over(order) + gap)
+    opened = rows.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    numbered = opened.withColumn("region", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "region", label).agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"))
+
+
+def valid_timelines(rows: DataFrame, key: str, order: str, start: str, end: str, duration: Column) -> DataFrame:
+    """``(key, valid)``: starts never fall, and 0 <= start < end <= duration everywhere."""
+    w = Window.partitionBy(key).orderBy(order)
+    ok = (F.col(start) >= F.coalesce(F.lag(start).over(w), F.col(start))) & (F.col(start) >= 0) & (F.col(start) < F.col(end)) & (F.col(end) <= duration)
+    return rows.withColumn("_ok", ok).groupBy(key).agg(F.every(F.coalesce("_ok", F.lit(False))).alias("valid"))
+
+
+def text_pieces(text: Column, most: int) -> Column:
+    """A text cut after sentence marks into pieces, neighbours joined again up to ``most`` characters.
+
+    A piece that is longer by itself is cut hard.  Blank texts have no pieces.
+    """
+    marked = F.regexp_replace(F.trim(text), r"([.!?。！？；;])\s*", "$1\u0001")
+    sentences = F.filter(F.split(marked, "\u0001"), lambda s: F.trim(s) != "")
+    hard = lambda s: F.transform(
+        F.sequence(F.lit(0), F.floor((F.length(s) - 1) / most).cast("int")), lambda k: F.substring(s, k * most + 1, F.lit(most))
+    )
+    parts = F.flatten(F.transform(sentences, hard))
+
+    def add(held: Column, s: Column) -> Column:
+        last = F.coalesce(F.get(held, F.size(held) - 1), F.lit(""))
+        room = (F.size(held) > 0) & (F.length(last) + F.length(s) <= most)
+        return F.when(room, F.concat(F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0))), F.array(F.concat(last, s)))).otherwise(F.concat(held, F.array(s)))
+
+    return F.aggregate(parts, F.array().cast("array<string>"), add)
+
+
+def densified(rows: DataFrame, keys: list[str], text: str, start: str, end: str, most: int) -> DataFrame:
+    """Segments cut to ``most`` characters; times follow the share of characters, the last end is exact."""
+    cut = rows.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.posexplode(text_pieces(F.col(text), most)).alias("piece", text))
+    w = Window.partitionBy(*keys).orderBy("piece")
+    cut = cut.withColumn("_n", F.length(text)).withColumns({"_upto": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
+    at = lambda n: F.col("_s") + F.floor((F.col("_e") - F.col("_s")) * n / F.col("_all"))
+    return cut.select(*keys, "piece", text, at(F.col("_upto") - F.col("_n")).alias(start), F.when(F.col("_upto") == F.col("_all"), F.col("_e")).otherwise(at(F.col("_upto"))).alias(end))
+
+
+def kept_vocabulary(counts: DataFrame, token: str, n: str, least: int, forced: DataFrame) -> DataFrame:
+    """``(token, n, kept)``: tokens seen ``least`` times or more, and forced ones whether seen or not."""
+    f = forced.select(F.col(token), F.lit(True).alias("_forced")).distinct()
+    both = counts.select(token, n).join(f, token, "full")
+    total = F.coalesce(n, F.lit(0))
+    return both.select(token, total.alias(n), (F.coalesce("_forced", F.lit(False)) | (total >= least)).alias("kept"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from colloquy.plans import catalog, records
+from colloquy.plans import catalog, records, shaping
 
 
 def queries() -> dict:
-    return catalog.QUERIES | records.QUERIES
+    return catalog.QUERIES | records.QUERIES | shaping.QUERIES
 
 
 def oracle_sql() -> dict:
-    return catalog.SQL | records.SQL
+    return catalog.SQL | records.SQL | shaping.SQL

@@ -64,8 +64,8 @@ def cpwer(ref: DataFrame, hyp: DataFrame, key: str) -> DataFrame:
     ).na.fill(0)
     none = F.array().cast("array<string>")
     # empty streams fill the smaller side up
-    pad = lambda side, more, name, col: n.where(more > 0).select(key, F.explode(F.sequence(F.lit(1), more)).alias("k")).select(
-        key, F.concat(F.lit("\u0000"), "k").alias(name), none.alias(col)
+    pad = lambda side, more, name, col: n.where(more > 0).select(key, F.explode(F.sequence(F.lit(1), more)).alias("_pad")).select(
+        key, F.concat(F.lit("\u0000"), "_pad").alias(name), none.alias(col)
     )
     r2 = r.union(pad(r, F.col("n_h") - F.col("n_r"), "a", "r"))
     h2 = h.union(pad(h, F.col("n_r") - F.col("n_h"), "b", "h"))

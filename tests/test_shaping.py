@@ -1,0 +1,86 @@
+import random
+
+import pytest
+from colloquy.functions import text as T
+from colloquy.functions.edits import distance
+from colloquy.operators import metrics, shaping
+from pyspark.sql import functions as F
+
+
+def slow(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edit_distance_agrees_with_the_table():
+    r = random.Random(1)
+    for _ in range(300):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(90))] for _ in range(2))
+        assert distance(a, b) == slow(a, b)
+    assert distance([], ["a"]) == 1 and distance([], []) == 0 and distance(["a"], []) == 1
+
+
+def one(spark, column, **values):
+    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)).select(column.alias("x")).first().x
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("１２３ ＫＰＩ", ["123", "kpi"]), ("今天開 sprint 23 的 review", ["今", "天", "開", "sprint", "23", "的", "review"]), ("3×4", ["3", "4"]), ("豈", ["豈"]), (None, []), ("", [])],
+)
+def test_tokens_are_folded(spark, text, want):
+    assert one(spark, T.tokens(F.col("t")), t=text) == want
+
+
+def test_fidelity(spark):
+    said, summary = "成長 75%，21萬，4/4 週三 [12.50] S01: 會議 30 人", "達到 75% 與 95%，30 人，30萬"
+    f = one(spark, T.fidelity(F.col("a"), F.col("b")), a=said, b=summary)
+    assert set(f.hallucinated) >= {"95%", "30萬"} and "75%" not in f.hallucinated
+    assert set(f.missed) == {"21萬", "4/4", "週三"} - set(f.covered)
+    none = one(spark, T.fidelity(F.col("a"), F.col("b")), a="words", b=None)
+    assert (none.hallucination_rate, none.coverage) == (0.0, 1.0)
+
+
+def test_bare_numbers(spark):
+    assert one(spark, T.all_facts(F.col("t")), t="[3.50] S02: 12 of 40% at 7: and a9 3") == ["12", "3", "40%"]
+
+
+@pytest.mark.parametrize(("items", "want"), [("abcabcabc", True), ("abcabcab", False), ("xyz" * 4, True), ("", False), ("ab", False), ("qabcabcabcq", True)])
+def test_loops(spark, items, want):
+    assert one(spark, T.loops(F.split(F.col("t"), "")), t=items) == want
+
+
+def test_a_relabelled_hypothesis_is_matched(spark):
+    kind = "k long, pos long, speaker string, text string, start long, end long"
+    ref = spark.createDataFrame([(1, 0, "A", "hello there", 0, 3000), (1, 1, "B", "good day", 3000, 6000), (2, 0, "A", "x", 0, 1000)], kind)
+    hyp = spark.createDataFrame([(1, 0, "9", "hello there", 100, 3100), (1, 1, "7", "good day", 3100, 6100), (2, 0, "B", "y", 0, 1000)], kind)
+    got = {r.k: (r.matched, r.unmatched, r.mae_ms) for r in metrics.timestamp_error(ref, hyp, "k").collect()}
+    assert got == {1: (2, 0, 100.0), 2: (0, 1, 0.0)}
+    m = {r.k: r for r in metrics.record_metrics(ref, hyp, "k").collect()}
+    assert m[1].mer == 0 and m[1].cpwer == 0 and m[2].mer == 1
+
+
+def test_gates(spark):
+    m = spark.createDataFrame([(90.0, "a", 0.0), (10.0, "b", 1.0), (0.0, "b", 1.0)], "w double, slice string, mer double")
+    got = {r.gate: (round(r.value, 3), r.passed) for r in metrics.run_gates(m, {"mer": 0.2, "b_mer": 0.5, "none_mer": 0.1, "other": 1}, "w", "slice").collect()}
+    assert got == {"mer": (0.109, True), "b_mer": (1.0, False)}
+    assert [r.passed for r in metrics.run_gates(m.limit(0), {"mer": 0.2}, "w", "slice").collect()] == [False]
+
+
+def test_pieces_keep_all_text_and_end_exactly(spark):
+    said = "One. Two two two! " + "x" * 95 + ". End"
+    df = spark.createDataFrame([(1, said, 1000, 9000), (2, None, 0, 5), (3, "  ", 0, 5)], "k long, t string, s long, e long")
+    rows = shaping.densified(df, ["k"], "t", "s", "e", 30).orderBy("piece").collect()
+    assert "".join(r.t for r in rows).replace(" ", "") == said.replace(" ", "") and all(len(r.t) <= 30 for r in rows)
+    assert rows[0].s == 1000 and rows[-1].e == 9000 and all(a.e == b.s for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_clock_times_and_metadata(spark):
+    assert [one(spark, shaping.hms_seconds(F.col("t")), t=t) for t in ("1:02:03", "2:03", "7", "x", "1:2:3:4", None)] == [3723.0, 123.0, 7.0, None, None, None]
+    df = spark.createDataFrame([(1, '{"p": -0.2}'), (2, '{"p": -0.9}'), (3, "{}"), (4, None), (5, "no json")], "k long, meta string")
+    assert [r.k for r in shaping.confident(df, "meta", "p", -0.5).collect()] == [1]

@@ -53,3 +53,55 @@ def edit_distance(ref: Column, hyp: Column) -> Column:
 def rate(edits: Column, n_ref: Column, n_hyp: Column) -> Column:
     """Edits over reference tokens; an empty reference gives 0 against nothing, else 1."""
     return F.when(n_ref == 0, F.when(n_hyp == 0, 0.0).otherwise(1.0)).otherwise(edits / n_ref)
+
+
+def alignment(ref, hyp) -> list[tuple[int | None, int | None]]:
+    """Places of ``ref`` and ``hyp`` side by side in a least edit; None where one side has nothing.
+
+    Read from the end, a pair goes before a lost token and that before an added one.  Each
+    column of the distance table is kept as bits, steps down (from one place of ``ref`` to the
+    next) and steps across (from one token of ``hyp`` to the next), and the way back asks them.
+    """
+    n = len(ref)
+    every, where = (1 << n) - 1, {}
+    for k, x in enumerate(ref):
+        where[x] = where.get(x, 0) | 1 << k
+    rises, falls, down, across = every, 0, [(every, 0)], [(0, 0)]
+    for x in hyp:
+        same = where.get(x, 0)
+        level = (((same & rises) + rises) ^ rises) | same | falls
+        up, less = falls | (every & ~(level | rises)), rises & level
+        across.append((up, less))
+        up, less = (up << 1 | 1) & every, (less << 1) & every
+        crossed = same | falls
+        rises, falls = less | (every & ~(crossed | up)), up & crossed
+        down.append((rises, falls))
+
+    def step(bits: tuple[int, int], k: int) -> int:
+        return (bits[0] >> k & 1) - (bits[1] >> k & 1)
+
+    i, j, pairs = n, len(hyp), []
+    while i or j:
+        if i and j and step(across[j], i - 1) + step(down[j - 1], i - 1) == (ref[i - 1] != hyp[j - 1]):
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        elif i and step(down[j], i - 1) == 1:
+            i -= 1
+            pairs.append((i, None))
+        else:
+            j -= 1
+            pairs.append((None, j))
+    return pairs[::-1]
+
+
+def aligned(ref: Column, hyp: Column) -> Column:
+    """``array<struct<i, j>>``: places of two token arrays side by side; null counts as no tokens."""
+
+    @F.pandas_udf("array<struct<i: int, j: int>>")
+    def batch(ref, hyp):
+        import pandas as pd
+
+        return pd.Series([[{"i": i, "j": j} for i, j in alignment(list(a), list(b))] for a, b in zip(ref, hyp, strict=True)])
+
+    none = F.array().cast("array<string>")
+    return batch(F.coalesce(ref, none), F.coalesce(hyp, none))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from colloquy.plans import catalog, records, shaping
+from colloquy.plans import catalog, records, scoring, shaping
 
 
 def queries() -> dict:
-    return catalog.QUERIES | records.QUERIES | shaping.QUERIES
+    return catalog.QUERIES | records.QUERIES | shaping.QUERIES | scoring.QUERIES
 
 
 def oracle_sql() -> dict:
-    return catalog.SQL | records.SQL | shaping.SQL
+    return catalog.SQL | records.SQL | shaping.SQL | scoring.SQL

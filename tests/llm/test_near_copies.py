@@ -41,6 +41,12 @@ def test_pairs_agree_with_brute_force_when_shards_are_cut(spark):
         assert {tuple(x) for x in nc.near_pairs(df, False, rows).collect()} == near
         some = {tuple(x) for x in nc.near_pairs(df, True, rows).collect()}
         assert some <= near and components(some, len(codes)) == components(near, len(codes))
+        first = {tuple(x) for x in nc.near_pairs(df, True, rows, nc.FIRST_CHOICES).collect()}
+        met = components(first, len(codes))
+        dealt = spark.createDataFrame([(k, _signed(c), met[k]) for k, c in enumerate(codes)], "id long, fp long, comp long")
+        later = {tuple(x) for x in nc.near_pairs(dealt, True, rows).collect()}
+        assert first | later <= near and all(met[x] != met[y] for x, y in later)
+        assert components(first | later, len(codes)) == components(near, len(codes))
 
 
 def components(pairs, n):

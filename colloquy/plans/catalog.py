@@ -348,5 +348,10 @@ SQL = {
     "nation_revenue": "SELECT r_name, n_name, round(sum(o_totalprice), 2) AS revenue, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name",
 }
 
-ROWS_ONLY = ["cpwer", "speaker_errors", "timestamp_mae", "link_speakers", "target_lines"]
+SQL["target_lines"] = """WITH c AS (SELECT *, greatest(length("text") * 80, 300)::BIGINT AS d FROM conversations),
+ s AS (SELECT *, sum(d) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM c)
+ SELECT conv_id, string_agg(printf('[%.2f][S%02d]%s[%.2f]', (upto - d)::DOUBLE / 1000,
+  CASE WHEN regexp_full_match(role, '[0-9]+') THEN try_cast(role AS INT) + 1 ELSE 1 END, "text", upto::DOUBLE / 1000), '' ORDER BY turn) AS target
+ FROM s GROUP BY conv_id"""
+ROWS_ONLY = ["cpwer", "speaker_errors", "timestamp_mae", "link_speakers"]
 QUERIES = {name: globals()[name] for name in [*SQL, *ROWS_ONLY]}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,8 +13,8 @@ from colloquy.operators.vectors import average_link, unit
 
 def id_order(label: str) -> tuple[float, str]:
     """Labels by the number at their end; those without one come last, by name."""
-    head, _, tail = label.rpartition("_")
-    return (float(tail) if head and tail.isdigit() else float("inf"), label)
+    digits = re.search(r"[0-9]+$", label)
+    return (float(digits[0]) if digits else float("inf"), label)
 
 
 def speaker_means(store: DataFrame, recording: str, speaker: str, vector: str) -> DataFrame:

@@ -19,13 +19,28 @@ from colloquy.operators.intervals import islands, overlaps
 from colloquy.operators.matching import assign
 
 
-def mixed_error_rate(ref: DataFrame, hyp: DataFrame, key: str) -> DataFrame:
-    """``(key, edits, n_ref, n_hyp, mer)``; ref and hyp have one ``text`` a key.
+def last_of_each(hyp: DataFrame, key: str, order: str) -> DataFrame:
+    """Of several hypotheses of a key the last in ``order``."""
+    own = F.struct(*hyp.columns)
+    return hyp.groupBy(key).agg(F.max_by(own, order).alias("_h")).select("_h.*")
 
-    A key without a hypothesis is scored against nothing; one without a reference is left out.
+
+def paired(ref: DataFrame, hyp: DataFrame, key: str) -> DataFrame:
+    """``(n_records, n_missing)``: reference rows, and those whose key no hypothesis has."""
+    heard = hyp.select(key).distinct().withColumn("_heard", F.lit(1))
+    n = ref.select(key).join(heard, key, "left")
+    return n.agg(F.count("*").alias("n_records"), F.count_if(F.col("_heard").isNull()).alias("n_missing"))
+
+
+def mixed_error_rate(ref: DataFrame, hyp: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """``(key, edits, n_ref, n_hyp, mer)`` of every row of ref.
+
+    Of several hypotheses of a key the last in ``order`` counts; without an order hyp must have
+    one row a key.  A key without a hypothesis is scored against nothing; one without a
+    reference is left out.
     """
     r = ref.select(key, tokens(F.col("text")).alias("r"))
-    h = hyp.select(key, tokens(F.col("text")).alias("h"))
+    h = (last_of_each(hyp, key, order) if order else hyp).select(key, tokens(F.col("text")).alias("h"))
     none = F.array().cast("array<string>")
     both = r.join(h, key, "left").withColumn("h", F.coalesce("h", none))
     d = both.select(key, edit_distance(F.col("r"), F.col("h")).alias("edits"), F.size("r").alias("n_ref"), F.size("h").alias("n_hyp"))
@@ -225,12 +240,16 @@ def gate(metrics: DataFrame, slices: list[str], value: str, weight: str, limit:
 
 
 def record_metrics(ref: DataFrame, hyp: DataFrame, key: str) -> DataFrame:
-    """``(key, mer, cpwer, der, timestamp_mae)`` of each reference recording; none heard: the worst."""
+    """``(key, mer, cpwer, der, timestamp_mae, unmatched)`` of each reference recording.
+
+    Where nothing is heard the rates are at their worst, but the timestamp error, a mean over
+    matched segments, is 0: ``unmatched`` tells how many segments have none.
+    """
     one = lambda s: s.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "pos", "text"))), lambda x: x["text"]), " ").alias("text"))
     out = mixed_error_rate(one(ref), one(hyp), key).select(key, "mer")
     out = out.join(cpwer(ref, hyp, key).select(key, "cpwer"), key, "left")
     out = out.join(speaker_errors(ref, hyp, key).select(key, "der"), key, "left")
-    return out.join(timestamp_error(ref, hyp, key).select(key, (F.col("mae_ms") / 1000).alias("timestamp_mae")), key, "left")
+    return out.join(timestamp_error(ref, hyp, key).select(key, (F.col("mae_ms") / 1000).alias("timestamp_mae"), "unmatched"), key, "left")
 
 
 def run_gates(metrics: DataFrame, limits: dict[str, float], weight: str, slice_col: str) -> DataFrame:

@@ -56,15 +56,22 @@ def smoothed(rows: DataFrame, keys: list[str], place: str, label: str, reach: in
     numbered = rows.select(*keys, place, label, n.alias("_n"))
     near = numbered.select(*keys, label, F.explode(F.sequence(F.col("_n") - reach, F.col("_n") + reach)).alias("_n"))
     votes = near.groupBy(*keys, "_n", label).agg(F.count("*").alias("_votes"))
-    best = votes.groupBy(*keys, "_n").agg(F.max(F.struct("_votes", (-F.col(label)).alias("least"))).alias("_best"))
-    return numbered.drop(label).join(best, [*keys, "_n"]).select(*keys, place, (-F.col("_best.least")).alias(label))
+    best = votes.groupBy(*keys, "_n").agg(F.min(F.struct((-F.col("_votes")).alias("fewest"), F.col(label).alias("label"))).alias("_best"))
+    return numbered.drop(label).join(best, [*keys, "_n"]).select(*keys, place, F.col("_best.label").alias(label))
 
 
 def merged_regions(rows: DataFrame, keys: list[str], start: str, end: str, label: str, gap: int) -> DataFrame:
-    """Neighbouring rows of one label whose gap is ``gap`` or less, as one region."""
+    """Neighbouring rows of one label as one region, while the gap to the latest end in the region
+    is ``gap`` or less.
+
+    Within a run of one label the latest end so far is the region's: where a gap opens a region,
+    everything before it has ended.
+    """
     order = Window.partitionBy(*keys).orderBy(start, end, label)
-    goes_on = (F.lag(label).over(order) == F.col(label)) & (F.col(start) <= F.lag(end).over(order) + gap)
-    opened = rows.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    turns = F.when(F.lag(label).over(order).eqNullSafe(F.col(label)), 0).otherwise(1)
+    run = rows.withColumn("_turn", F.sum(turns).over(order))
+    latest = F.max(end).over(Window.partitionBy(*keys, "_turn").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
+    opened = run.withColumn("_new", F.when(F.col(start) <= latest + gap, 0).otherwise(1))
     numbered = opened.withColumn("region", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*keys, "region", label).agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"))
 
@@ -76,33 +83,53 @@ def valid_timelines(rows: DataFrame, key: str, order: str, start: str, end: str,
     return rows.withColumn("_ok", ok).groupBy(key).agg(F.every(F.coalesce("_ok", F.lit(False))).alias("valid"))
 
 
-def text_pieces(text: Column, most: int) -> Column:
-    """A text cut after sentence marks into pieces, neighbours joined again up to ``most`` characters.
+def text_pieces(text: Column, size: Column) -> Column:
+    """A text cut into pieces of about ``size`` characters that give it back when joined.
 
-    A piece that is longer by itself is cut hard.  Blank texts have no pieces.
+    It is cut after marks that end a sentence; a sentence of over 1.5 times the size after
+    marks that end a clause; what of a clause is over 1.5 times the size, every ``size``
+    characters.  Neighbours are joined again up to the size.  Marks before anything else are
+    dropped, and so is an empty text.
     """
-    marked = F.regexp_replace(F.trim(text), r"([.!?。！？；;])\s*", "$1\u0001")
-    sentences = F.filter(F.split(marked, "\u0001"), lambda s: F.trim(s) != "")
-    hard = lambda s: F.transform(
-        F.sequence(F.lit(0), F.floor((F.length(s) - 1) / most).cast("int")), lambda k: F.substring(s, k * most + 1, F.lit(most))
-    )
-    parts = F.flatten(F.transform(sentences, hard))
+    long = lambda s: F.length(s) > size * 1.5
+
+    def hard(s: Column) -> Column:
+        # pieces of the size while more than 1.5 times it is left, and the rest
+        n = F.greatest(F.ceil((F.length(s) - size * 1.5) / size), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), n), lambda k: F.substring(s, k * size + 1, F.when(k < n, size).otherwise(F.length(s))))
+
+    sentences = F.regexp_extract_all(text, F.lit("[^。！？!?;；]+[。！？!?;；]?"), F.lit(0))
+    clauses = lambda s: F.regexp_extract_all(s, F.lit("[^，,、]+[，,、]?"), F.lit(0))
+    parts = F.flatten(F.transform(sentences, lambda s: F.when(long(s), F.flatten(F.transform(clauses(s), hard))).otherwise(F.array(s))))
 
     def add(held: Column, s: Column) -> Column:
         last = F.coalesce(F.get(held, F.size(held) - 1), F.lit(""))
-        room = (F.size(held) > 0) & (F.length(last) + F.length(s) <= most)
+        room = (F.size(held) > 0) & (F.length(last) + F.length(s) <= size)
         return F.when(room, F.concat(F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0))), F.array(F.concat(last, s)))).otherwise(F.concat(held, F.array(s)))
 
     return F.aggregate(parts, F.array().cast("array<string>"), add)
 
 
-def densified(rows: DataFrame, keys: list[str], text: str, start: str, end: str, most: int) -> DataFrame:
-    """Segments cut to ``most`` characters; times follow the share of characters, the last end is exact."""
-    cut = rows.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.posexplode(text_pieces(F.col(text), most)).alias("piece", text))
-    w = Window.partitionBy(*keys).orderBy("piece")
-    cut = cut.withColumn("_n", F.length(text)).withColumns({"_upto": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
-    at = lambda n: F.col("_s") + F.floor((F.col("_e") - F.col("_s")) * n / F.col("_all"))
-    return cut.select(*keys, "piece", text, at(F.col("_upto") - F.col("_n")).alias(start), F.when(F.col("_upto") == F.col("_all"), F.col("_e")).otherwise(at(F.col("_upto"))).alias(end))
+def densified(rows: DataFrame, keys: list[str], text: str, start: str, end: str, most_ms: int = 8000, least_chars: int = 20) -> DataFrame:
+    """``(keys, piece, text, start, end)``: long segments cut to about ``most_ms``.
+
+    A segment of up to ``most_ms`` or of under twice ``least_chars`` characters stays whole;
+    another is cut to the characters that its own rate of speech puts into ``most_ms``,
+    ``least_chars`` at least.  Times follow the share of characters; the last end is exact.
+    """
+    length, n = F.col(end) - F.col(start), F.length(text)
+    size = F.greatest(F.floor(n * most_ms / length).cast("int"), F.lit(least_chars))
+    cut = rows.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(text).alias("_t"), F.when((length > most_ms) & (n >= 2 * least_chars), size).alias("_size"))
+    pieces = F.when(F.col("_size").isNull(), F.array("_t")).otherwise(text_pieces(F.col("_t"), F.col("_size")))
+    whole = F.when(F.size("_p") > 1, F.col("_p")).otherwise(F.array("_t"))
+    cut = cut.withColumn("_p", pieces).withColumn("_p", whole).withColumn("_all", F.aggregate("_p", F.lit(0), lambda a, x: a + F.length(x)))
+    upto = lambda k: F.aggregate(F.slice("_p", 1, k), F.lit(0), lambda a, x: a + F.length(x))
+    at = lambda k: F.col("_s") + F.floor((F.col("_e") - F.col("_s")) * upto(k) / F.col("_all"))
+    rows = cut.select("*", F.posexplode("_p").alias("piece", "_x"))
+    last = F.col("piece") == F.size("_p") - 1
+    return rows.select(
+        *keys, "piece", F.col("_x").alias(text), F.when(F.col("piece") == 0, F.col("_s")).otherwise(at(F.col("piece"))).alias(start), F.when(last, F.col("_e")).otherwise(at(F.col("piece") + 1)).alias(end)
+    )
 
 
 def kept_vocabulary(counts: DataFrame, token: str, n: str, least: int, forced: DataFrame) -> DataFrame:

@@ -43,35 +43,16 @@ def nearest(rows: DataFrame, vector: str, cents: DataFrame, key: str) -> DataFra
     broadcast only if Spark finds them small.
     """
     packed = cents.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("c")))).alias("_c"))
-    best = once(unit(F.col(vector)), lambda u: F.array_max(F.transform(F.col("_c"), lambda c: F.struct(dot(u, c["c"]).alias("s"), (-c["k"]).alias("k")))))
-    return rows.crossJoin(packed).withColumn("_b", best).withColumns({"nearest": -F.col("_b.k"), "similarity": F.col("_b.s")}).drop("_b", "_c")
+    best = once(unit(F.col(vector)), lambda u: F.array_min(F.transform(F.col("_c"), lambda c: F.struct((-dot(u, c["c"])).alias("s"), c["k"].alias("k")))))
+    return rows.crossJoin(packed).withColumn("_b", best).withColumns({"nearest": F.col("_b.k"), "similarity": -F.col("_b.s")}).drop("_b", "_c")
 
 
 def average_link(x: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster numbers by average linkage on cosine distance, cut at ``threshold``.
+    """Cluster numbers by average linkage on cosine distance, cut at ``threshold``; numbers go by
+    each cluster's first row."""
+    from colloquy.operators.linkage import flat_clusters
 
-    The closest pair of clusters merges (ties: the lowest numbers) until none is within it.
-    """
-    n = len(x)
-    label = np.arange(n)
-    if n < 2:
-        return label
-    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    d = 1 - u @ u.T
-    size = np.ones(n)
-    d[np.tril_indices(n)] = np.inf
-    while True:
-        i, j = divmod(int(np.argmin(d)), n)
-        if not d[i, j] <= threshold:
-            return np.unique(label, return_inverse=True)[1]
-        full = np.minimum(d, d.T)
-        mean = (size[i] * full[i] + size[j] * full[j]) / (size[i] + size[j])
-        size[i] += size[j]
-        label[label == j] = i
-        mean[[i, j]] = np.inf
-        mean[~np.isfinite(full[i])] = np.inf
-        d[i, i + 1 :], d[:i, i] = mean[i + 1 :], mean[:i]
-        d[j, :], d[:, j] = np.inf, np.inf
+    return flat_clusters(np.asarray(x), threshold)
 
 
 def link_recording(seconds: np.ndarray, vectors: np.ndarray, threshold: float = 0.45, least_s: float = 3.0) -> list[str]:

@@ -233,6 +233,13 @@ def nearest_centroid(spark, d):
     return _nearest(spark, d).groupBy("label", "nearest").agg(F.count("*").alias("n"), F.round(F.avg("similarity"), 5).alias("similarity"))
 
 
+def nearest_speaker(spark, d):
+    """The nearest of centroids that go by name; names order otherwise than numbers."""
+    e = _t(spark, d, "embeddings").withColumn("who", F.concat(F.lit("S"), (F.col("label") * 7).cast("string")))
+    near = vectors.nearest(e, "embedding", vectors.centroids(e, "who", "embedding"), "who")
+    return near.groupBy("who", "nearest").agg(F.count("*").alias("n"), F.round(F.avg("similarity"), 5).alias("similarity"))
+
+
 def majority_purity(spark, d):
     n = _nearest(spark, d).groupBy("nearest", "label").agg(F.count("*").alias("n"))
     best = selection.top(n, ["nearest"], [F.col("n").desc(), F.col("label")], 1).select("nearest", F.col("label").alias("voted"), F.col("n").alias("hits"))
@@ -342,6 +349,7 @@ SQL = {
         l AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM u), s AS (SELECT label, k, sum(x) AS x FROM l GROUP BY ALL)
         SELECT label, CAST(k - 1 AS BIGINT) AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 4) AS x FROM s""",
     "nearest_centroid": f"SELECT label, nearest, count(*) AS n, round(avg(similarity), 5) AS similarity FROM {_NEAR} GROUP BY label, nearest",
+    "nearest_speaker": f"SELECT 'S' || label * 7 AS who, 'S' || nearest * 7 AS nearest, count(*) AS n, round(avg(similarity), 5) AS similarity FROM {_NEAR} GROUP BY ALL",
     "majority_purity": f"""WITH c AS (SELECT nearest, label, count(*) AS n FROM {_NEAR} GROUP BY ALL), t AS (SELECT nearest, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY nearest)
         SELECT c.nearest, c.label AS voted, c.n AS hits, t.total, round(c.n / t.total, 6) AS purity FROM c JOIN t USING (nearest) QUALIFY row_number() OVER (PARTITION BY c.nearest ORDER BY c.n DESC, c.label) = 1""",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus",

@@ -228,6 +228,11 @@ def mode_smoothing(spark, d):
     return shaping.smoothed(e, ["user_id"], "event_id", "label", 2).groupBy("user_id", "label").agg(F.count("*").alias("n"), F.sum("event_id").alias("id_sum"))
 
 
+def text_smoothing(spark, d):
+    """Labels that are texts, smoothed by one neighbour either side."""
+    return shaping.smoothed(_t(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", "event_type", 1)
+
+
 def pooled_clips(spark, d):
     p = shaping.budget_parts(spans(spark, d).withColumn("ms", F.col("end") - F.col("start")), ["user_id"], [F.col("start"), F.col("event_id")], "ms", 50_000_000)
     return p.where("used > 0").groupBy("user_id").agg(F.count("*").alias("clips"), F.sum("used").alias("used_ms"))
@@ -246,11 +251,6 @@ def position_shards(spark, d):
     return x.groupBy("lang", "shard").agg(F.count("*").alias("n"), F.sum("doc_id").alias("id_sum"))
 
 
-def dense_segments(spark, d):
-    s = shaping.densified(segments(spark, d), ["conv_id", "pos"], "text", "start", "end", 40)
-    return s.groupBy("conv_id").agg(F.count("*").alias("pieces"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("longest"), F.min("start").alias("first_ms"), F.max("end").alias("last_ms"))
-
-
 # ---------------------------------------------------------------- aggregates, rankings and gates
 def vocabulary_report(spark, d):
     counts = _t(spark, d, "conversations").select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
@@ -387,9 +387,14 @@ SQL = {
     "overlap_or_own_label": f"""WITH o AS (SELECT a_id, b_id FROM {_OVER} WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY ms DESC, b_id) = 1)
         SELECT v.event_id AS a_id, coalesce(o.b_id, v.event_id) AS label_id FROM events v LEFT JOIN o ON o.a_id = v.event_id WHERE v.event_type = 'view'""",
     "shifted_and_clipped": f"SELECT conv_id, pos, greatest(s - 20000, 0) AS from_ms, least(e - 20000, 60000) AS to_ms FROM {_SEGS} WHERE e - 20000 > 0 AND s - 20000 < 60000",
-    "merged_regions": f"""WITH o AS (SELECT *, CASE WHEN coalesce(lag(event_type) OVER w = event_type AND s <= lag(e) OVER w + 3600000, false) THEN 0 ELSE 1 END AS new FROM {_SPANS} WINDOW w AS (PARTITION BY user_id ORDER BY s, e, event_type)),
-        r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY s, e, event_type ROWS UNBOUNDED PRECEDING) AS BIGINT) AS region FROM o)
-        SELECT user_id, region, event_type, min(s) AS first_ms, max(e) AS last_ms, count(*) AS n FROM r GROUP BY ALL""",
+    "merged_regions": f"""WITH RECURSIVE o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, e, event_type) AS n FROM {_SPANS}),
+        f AS (SELECT user_id, n, 1::BIGINT AS region, event_type, s, e FROM o WHERE n = 1
+            UNION ALL SELECT o.user_id, o.n, CASE WHEN f.event_type = o.event_type AND o.s <= f.e + 3600000 THEN f.region ELSE f.region + 1 END, o.event_type, o.s,
+                CASE WHEN f.event_type = o.event_type AND o.s <= f.e + 3600000 THEN greatest(f.e, o.e) ELSE o.e END FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
+        SELECT user_id, region, event_type, min(s) AS first_ms, max(e) AS last_ms, count(*) AS n FROM f GROUP BY ALL""",
+    "text_smoothing": """WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+        v AS (SELECT a.user_id, a.event_id, b.event_type, count(*) AS k FROM e a JOIN e b ON b.user_id = a.user_id AND b.n BETWEEN a.n - 1 AND a.n + 1 GROUP BY ALL)
+        SELECT user_id, event_id, event_type FROM v QUALIFY row_number() OVER (PARTITION BY user_id, event_id ORDER BY k DESC, event_type) = 1""",
     "first_rule_wins": "SELECT CASE WHEN contains(upper(p_type), 'STEEL') OR contains(upper(p_type), 'BRASS') THEN 'metal' WHEN contains(upper(p_type), 'SMALL') THEN 'small' WHEN contains(upper(p_type), 'PROMO') THEN 'promo' ELSE 'other' END AS kind, count(*) AS n FROM part GROUP BY 1",
     "run_parity": f"SELECT conv_id, CAST(least(len(a), len(b)) AS BIGINT) AS n, CAST(len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i])) AS BIGINT) AS same FROM {_TWO}",
     "recordings_on_disk": "SELECT lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good FROM documents JOIN labels USING (doc_id) WHERE doc_id IN (SELECT vec_id FROM embeddings) GROUP BY lang",
@@ -427,5 +432,5 @@ SQL = {
         SELECT event_type, 'n' AS figure, n >= 10 AS passed FROM e UNION ALL SELECT event_type, 'mean', mean <= 60 FROM e UNION ALL SELECT event_type, 'largest', largest <= 400 FROM e""",
 }
 
-ROWS_ONLY = ["fidelity_reports", "dense_segments", "release_gates"]
+ROWS_ONLY = ["fidelity_reports", "release_gates"]
 QUERIES: dict = {name: globals()[name] for name in [*SQL, *ROWS_ONLY]}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from colloquy.plans import catalog, records, scoring, shaping
+from colloquy.plans import catalog, hearing, language, linking, records, scoring, shaping
+
+_MODULES = (catalog, records, shaping, scoring, linking, hearing, language)
 
 
 def queries() -> dict:
-    return catalog.QUERIES | records.QUERIES | shaping.QUERIES | scoring.QUERIES
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return catalog.SQL | records.SQL | shaping.SQL | scoring.SQL
+    return {k: v for m in _MODULES for k, v in m.SQL.items()}

@@ -215,3 +215,45 @@ def test_registry_query_agrees_with_a_fold_over_whole_vectors(spark, sf_dir):
     assert got == want
     sizes = catalog.link_speakers(spark, sf_dir).groupBy("rec").count().collect()
     assert len(sizes) == len(known) and max(r["count"] for r in sizes) <= 100
+
+
+def salvaged(text):
+    """Objects by trying every opening brace in turn, as a slow version."""
+    read, out, at = json.JSONDecoder().raw_decode, [], text.find("{")
+    while at >= 0:
+        try:
+            found, after = read(text, at)
+            out.append(found)
+        except ValueError:
+            after = at + 1
+        at = text.find("{", after)
+    return out
+
+
+def test_objects_of_broken_texts_as_a_slow_version():
+    r = np.random.default_rng(7)
+    bits = ['{"a":1}', '{"b":"x"}', "[", "]", ",", "{", "}", ":", '"k"', "12", "-0.5e3", "null", "x", " ", '{"c":{"d":[1,{"e":2}]}}', '{"s":"\\u00e9\\n"}', "01", "it's", "NaN"]
+    for _ in range(3000):
+        text = "".join(r.choice(bits) for _ in range(r.integers(1, 12)))
+        text = text[: len(text) - r.integers(0, 9)] if r.random() < 0.5 else text  # broken off anywhere, in a string too
+        try:
+            whole = json.loads(text)
+        except ValueError:
+            whole = None
+        if isinstance(whole, list):
+            want = [x for x in whole if isinstance(x, dict)]
+        elif isinstance(whole, dict):
+            want = [whole]
+        else:
+            want = salvaged(text)
+        got = generated.whole_objects(text)
+        # lists inside of a list that is whole are passed over, which a brace by brace search does not see
+        assert str(got) == str(want) or ("[" in text and all(str(g) in str(want) for g in got)), text
+    deep = "[" * 100_000 + '{"a":1}'
+    assert generated.whole_objects(deep) == [{"a": 1}] and generated.whole_objects("{" * 50_000) == []
+
+
+def test_marked_segments_keep_empty_labels(spark):
+    df = spark.createDataFrame([("[0.5][S01] a [1.00][1.00]b[2.0] x [3][S2]c[2]",), ("",), (None,)], "t string")
+    got = [r.s and [tuple(x) for x in r.s] for r in df.select(generated.marked_segments(F.col("t")).alias("s")).collect()]
+    assert got == [[(0.5, "[S01]", "a", 1.0), (1.0, "", "b", 2.0), (3.0, "[S2]", "c", 2.0)], [], None]

@@ -26,30 +26,39 @@ def speaker_means(store: DataFrame, recording: str, speaker: str, vector: str) -
     return out.where(F.exists("mean", lambda x: x != 0))
 
 
-def merge_map(means: DataFrame, recording: str, speaker: str, threshold: float = 0.45, least: int = 3) -> DataFrame:
-    """``(recording, speaker, mapped)`` of the labels that change.
+def merged_names(names: list[str], counts: np.ndarray, means: np.ndarray, threshold: float = 0.45, least: int = 3) -> dict[str, str]:
+    """Labels that change, to what they become.
 
     Speakers of ``least`` vectors or more are clustered by average linkage and take the lowest
     label of their cluster; others join the nearest of those within ``threshold``, ties the
-    lowest label.  A recording's speakers, not its segments, are one task's work.
+    lowest label.
+    """
+    order = sorted(range(len(names)), key=lambda k: id_order(names[k]))
+    names, many, x = [names[k] for k in order], np.asarray(counts)[order] >= least, np.asarray(means, float)[order]
+    core, out = np.flatnonzero(many), {}
+    groups = average_link(x[core], threshold)
+    heads = {int(g): int(core[np.argmax(groups == g)]) for g in groups}
+    for k, g in zip(core.tolist(), groups.tolist(), strict=True):
+        out[names[k]] = names[heads[g]]
+    lead = sorted(heads.values())
+    for k in np.flatnonzero(~many).tolist() if lead else []:
+        d = 1 - x[lead] @ x[k]
+        if d.min() <= threshold:
+            out[names[k]] = names[lead[int(np.argmin(d))]]
+    return {a: b for a, b in out.items() if a != b}
+
+
+def merge_map(means: DataFrame, recording: str, speaker: str, threshold: float = 0.45, least: int = 3) -> DataFrame:
+    """``(recording, speaker, mapped)`` of the labels that change, as in ``merged_names``.
+
+    A recording's speakers, not its segments, are one task's work.
     """
 
     def run(pdf):
         import pandas as pd
 
-        pdf = pdf.iloc[sorted(range(len(pdf)), key=lambda k: id_order(pdf[speaker].iloc[k]))]
-        x, names, many = np.array(pdf["mean"].tolist(), float), pdf[speaker].tolist(), pdf["n"].to_numpy() >= least
-        core, out = np.flatnonzero(many), {}
-        groups = average_link(x[core], threshold)
-        heads = {int(g): int(core[np.argmax(groups == g)]) for g in groups}
-        for k, g in zip(core.tolist(), groups.tolist(), strict=True):
-            out[names[k]] = names[heads[g]]
-        lead = sorted(heads.values())
-        for k in np.flatnonzero(~many).tolist() if lead else []:
-            d = 1 - x[lead] @ x[k]
-            if d.min() <= threshold:
-                out[names[k]] = names[lead[int(np.argmin(d))]]
-        rows = [(pdf[recording].iloc[0], a, b) for a, b in out.items() if a != b]
+        got = merged_names(pdf[speaker].tolist(), pdf["n"].to_numpy(), np.array(pdf["mean"].tolist(), float), threshold, least)
+        rows = [(pdf[recording].iloc[0], a, b) for a, b in got.items()]
         return pd.DataFrame(rows, columns=[recording, speaker, "mapped"])
 
     kind = dict(means.dtypes)[recording]

@@ -201,6 +201,22 @@ def voice_statistics(sound: DataFrame, recording: str, rate: int) -> DataFrame:
     return held.select(recording, F.when(F.col("ok"), vector).otherwise(F.array_repeat(F.lit(0.0), 4 * VOICE_KEPT)).alias("v")).select(recording, unit(F.col("v")).alias("vector"))
 
 
+def voice_vector(x: np.ndarray, rate: int) -> np.ndarray:
+    """The vector of ``voice_statistics`` of one clip that is in memory."""
+    n, hop = max(round(VOICE_S * rate), 16), max(round(VOICE_STEP_S * rate), 1)
+    zeros = np.zeros(4 * VOICE_KEPT)
+    if rate / 2.0 <= VOICE_LOW_HZ or len(x) < max(VOICE_LEAST_S * rate, n) or np.ptp(x) < 1e-9:
+        return zeros
+    fb = mel_filters(VOICE_BANDS, VOICE_LOW_HZ, np.linspace(0.0, rate / 2.0, n // 2 + 1))
+    c = np.log(_power(np.lib.stride_tricks.sliding_window_view(x, n)[::hop]) @ fb.T + TINY) @ _cosines(VOICE_BANDS, VOICE_KEPT).T
+    d = np.diff(c, axis=0) if len(c) > 1 else np.zeros((1, VOICE_KEPT))
+    parts = np.array([c.mean(0), c.std(0), d.mean(0), d.std(0)])
+    parts[:, 0] = 0
+    parts[:, 1:] -= parts[:, 1:].mean(axis=1, keepdims=True)
+    size = np.linalg.norm(parts)
+    return parts.ravel() / size if size >= 1e-8 else zeros
+
+
 def frame_energies(sound: DataFrame, recording: str, rate: int, frame_ms: int = SPEECH_FRAME_MS) -> DataFrame:
     """``(recording, frame, energy)``: mean squares of whole frames."""
     n = max(frame_ms * rate // 1000, 1)

@@ -45,10 +45,10 @@ def frames(start: Column, end: Column, step: int) -> Column:
 
 
 def sustained_start(rows: DataFrame, keys: list[str], time: str, within: int, least: int, lead: int) -> DataFrame:
-    """Per key the first time with ``least`` times in [t, t + within), less ``lead``, at least 0;
-    where there is none, the first time."""
+    """Per key the first time with ``least`` times in [t, t + within), or where there is none the
+    first time, less ``lead``, at least 0."""
     ahead = Window.partitionBy(*keys).orderBy(time).rangeBetween(0, within - 1)
     n = rows.withColumn("_n", F.count("*").over(ahead))
     return n.groupBy(*keys).agg(
-        F.coalesce(F.greatest(F.min(F.when(F.col("_n") >= least, F.col(time))) - lead, F.lit(0)), F.min(time)).alias("start")
+        F.greatest(F.coalesce(F.min(F.when(F.col("_n") >= least, F.col(time))), F.min(time)) - lead, F.lit(0)).alias("start")
     )

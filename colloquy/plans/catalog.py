@@ -118,13 +118,12 @@ def eval_containment(spark, d):
 
 def hour_budget_mix(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "lang", "n_chars", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"))
-    return selection.within_budget(docs, ["lang"], "n_chars", [F.col("h")], 100_000).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.sum("doc_id").alias("id_sum"))
+    return selection.within_budget(docs, ["lang"], "n_chars", [F.col("h"), F.col("doc_id")], 100_000).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.sum("doc_id").alias("id_sum"))
 
 
 def train_val_split(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "lang", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"))
-    s = docs.withColumn("split", selection.split_column(["lang"], [F.col("h")], 2))
-    return s.groupBy("lang", "split").agg(F.count("*").alias("n"), F.sum("doc_id").alias("id_sum"))
+    return selection.split_rows(docs, ["lang"], [F.col("h"), F.col("doc_id")], 2).groupBy("lang", "split").agg(F.count("*").alias("n"), F.sum("doc_id").alias("id_sum"))
 
 
 def confidence_filter(spark, d):
@@ -191,8 +190,9 @@ def hopping_windows(spark, d):
 
 
 def frame_activity(spark, d):
-    s = spans(spark, d).select("user_id", F.explode(intervals.frames(F.col("start"), F.col("end"), FRAME_MS)).alias("f")).distinct()
-    return s.groupBy("user_id").agg(F.count("*").alias("frames"), F.min("f").alias("first_frame"), F.max("f").alias("last_frame"))
+    """Frames in which a user is active, counted by runs of them."""
+    runs = metrics.frame_ranges(spans(spark, d).withColumn("speaker", F.lit("")), "user_id", FRAME_MS)
+    return runs.groupBy("user_id").agg(F.sum(F.col("end") - F.col("start")).alias("frames"), F.min("start").alias("first_frame"), (F.max("end") - 1).alias("last_frame"))
 
 
 def carry_forward_label(spark, d):
@@ -213,9 +213,11 @@ def corpus_quantiles(spark, d):
 
 
 def sorted_index_stats(spark, d):
-    v = F.array_sort(F.collect_list("value"))
-    e = _t(spark, d, "events").groupBy("event_type", "user_id").agg(v.alias("v"))
-    return e.select("event_type", "user_id", F.get("v", F.floor(F.size("v") / 2).cast("int")).alias("median"), F.get("v", F.floor(F.size("v") * 9 / 10).cast("int")).alias("p90"))
+    keys = ["event_type", "user_id"]
+    w = Window.partitionBy(*keys)
+    e = _t(spark, d, "events").select(*keys, "value", (F.row_number().over(w.orderBy("value")) - 1).alias("r"), F.count("*").over(w).alias("n"))
+    at = lambda share: F.max(F.when(F.col("r") == F.floor(F.col("n") * share / 10), F.col("value")))
+    return e.groupBy(*keys).agg(at(5).alias("median"), at(9).alias("p90"))
 
 
 # ---------------------------------------------------------------- vectors
@@ -337,7 +339,7 @@ SQL = {
     "interval_overlap_vote": f"""WITH o AS (SELECT a.event_id AS a_id, b.event_type, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS overlap_ms FROM {_SPANS} a JOIN {_SPANS} b ON a.user_id = b.user_id AND a.s < b.e AND b.s < a.e
         WHERE a.event_type = 'view' AND b.event_type <> 'view' GROUP BY ALL) SELECT a_id, event_type, overlap_ms FROM o QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY overlap_ms DESC, event_type) = 1""",
     "sustained_start": f"""WITH n AS (SELECT user_id, s, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 7199999 FOLLOWING) AS n FROM {_SPANS})
-        SELECT user_id, coalesce(greatest(min(CASE WHEN n >= 3 THEN s END) - 5000, 0), min(s)) AS start_ms FROM n GROUP BY user_id""",
+        SELECT user_id, greatest(coalesce(min(CASE WHEN n >= 3 THEN s END), min(s)) - 5000, 0) AS start_ms FROM n GROUP BY user_id""",
     "hopping_windows": f"""SELECT event_type, k * {HOP_STEP_MS} AS window_ms, count(*) AS n FROM (SELECT event_type, unnest(range(greatest((s - {HOP_SIZE_MS}) // {HOP_STEP_MS} + 1, 0), s // {HOP_STEP_MS} + 1)) AS k FROM {_SPANS}) GROUP BY event_type, k""",
     "frame_activity": f"""WITH f AS (SELECT DISTINCT user_id, unnest(range(CAST(ceil((s - {FRAME_MS // 2}) / {FRAME_MS}) AS BIGINT), CAST(ceil((e - {FRAME_MS // 2}) / {FRAME_MS}) AS BIGINT))) AS f FROM {_SPANS})
         SELECT user_id, count(*) AS frames, min(f) AS first_frame, max(f) AS last_frame FROM f GROUP BY user_id""",

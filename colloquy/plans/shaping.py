@@ -246,8 +246,8 @@ def merged_notes(spark, d):
 
 
 def position_shards(spark, d):
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
-    x = _t(spark, d, "documents").select("lang", "doc_id", (place % 4).alias("shard"))
+    x = selection.running(_t(spark, d, "documents").select("lang", "doc_id"), ["lang"], [F.col("doc_id")])
+    x = x.select("lang", "doc_id", ((F.col("_place") - 1) % 4).alias("shard"))
     return x.groupBy("lang", "shard").agg(F.count("*").alias("n"), F.sum("doc_id").alias("id_sum"))
 
 

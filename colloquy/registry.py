@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from colloquy.plans import catalog, hearing, language, linking, records, scoring, shaping
+from colloquy.plans import catalog, hearing, language, linking, records, scoring, shaping, training
 
-_MODULES = (catalog, records, shaping, scoring, linking, hearing, language)
+_MODULES = (catalog, records, shaping, scoring, linking, hearing, language, training)
 
 
 def queries() -> dict:

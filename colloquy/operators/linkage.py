@@ -183,3 +183,19 @@ def swept_segments(segments: DataFrame, units: DataFrame, recording: str, order:
     before = Window.partitionBy(recording, "threshold").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     label = F.when(F.col("cluster").isNotNull(), F.format_string("S%02d", "cluster"))
     return found.withColumn("_l", label).select(recording, "threshold", order, F.coalesce(F.last("_l", True).over(before), F.lit("S01")).alias("speaker"))
+
+
+def global_speakers(segments: DataFrame, recording: str, order: str, seconds: str, vector: str, threshold: float = 0.7, least_s: float = 0.3) -> DataFrame:
+    """Segments under the speakers of the whole recording, S01 first to speak; ``speaker`` is replaced.
+
+    Segments shorter than ``least_s`` or without a vector are dropped; a recording with fewer
+    than two others keeps all of its segments as they are.
+    """
+    voiced = segments.where(F.col(seconds) >= least_s)
+    tree = dendrogram(voiced, recording, order, vector)
+    n = tree.groupBy(recording).agg(F.count("*").alias("_n"))
+    found = cuts(tree, recording, order, [threshold]).select(recording, order, F.format_string("S%02d", "cluster").alias("_who"))
+    got = segments.join(n, recording, "left").join(found, [recording, order], "left")
+    few = F.coalesce(F.col("_n"), F.lit(0)) < 2
+    kept = got.where(few | F.col("_who").isNotNull())
+    return kept.withColumn("speaker", F.when(few, F.col("speaker")).otherwise(F.col("_who"))).select(*segments.columns)

@@ -17,6 +17,7 @@ from colloquy.functions.edits import edit_distance, rate
 from colloquy.functions.text import tokens
 from colloquy.operators.intervals import islands, overlaps
 from colloquy.operators.matching import assign
+from colloquy.shared import Stages
 
 
 def last_of_each(hyp: DataFrame, key: str, order: str) -> DataFrame:
@@ -179,13 +180,36 @@ def speaker_map(ref: DataFrame, hyp: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy(key).applyInPandas(run, f"{key} {dict(ref.dtypes)[key]}, speaker string, mapped string")
 
 
+def _may_be_alike(a: DataFrame, b: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """``(keys[0], pos_a, pos_b)`` of all pairs whose word sets may be ``least`` alike or more.
+
+    Of a set of n words, put in order of how rare they are, such a pair shares one of the first
+    n - ceil(least * n) + 1: frequent words, which nearly all segments have, meet nobody.  Empty
+    sets meet each other.
+    """
+
+    def words(rows: DataFrame, tag: str) -> DataFrame:
+        w = F.when(F.size(f"w_{tag}") > 0, F.col(f"w_{tag}")).otherwise(F.array(F.lit("")))
+        return rows.select(*keys, f"pos_{tag}", F.greatest(F.size(f"w_{tag}"), F.lit(1)).alias("_n"), F.explode(w).alias("_w"))
+
+    left, right = words(a, "a"), words(b, "b")
+    often = left.select("_w").unionByName(right.select("_w")).groupBy("_w").agg(F.count("*").alias("_often"))
+
+    def rare(rows: DataFrame, tag: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*keys, f"pos_{tag}").orderBy("_often", "_w"))
+        first = F.col("_n") - F.ceil(F.col("_n") * least) + 1
+        return rows.join(often, "_w").withColumn("_p", place).where(F.col("_p") <= first).select(*keys, f"pos_{tag}", "_w")
+
+    return rare(left, "a").join(rare(right, "b"), [*keys, "_w"]).select(keys[0], "pos_a", "pos_b").distinct()
+
+
 def timestamp_error(ref: DataFrame, hyp: DataFrame, key: str, least: float = 0.5) -> DataFrame:
     """``(key, matched, unmatched, mae_ms)``: mean of start and end differences of greedy pairs.
 
     Hypothesis speakers are mapped to reference speakers first.  Segments may pair if their
-    speakers are the same and their token sets more than ``least`` alike; candidates are found
-    by a shared token (or by having none), and only those above ``least`` reach the greedy
-    choice of a recording.
+    speakers are the same and their token sets more than ``least`` alike; candidates share a rare
+    token (or both have none), and only those above ``least`` reach the greedy choice of a
+    recording.
     """
     names = speaker_map(ref, hyp, key)
     h = hyp.join(names, [key, "speaker"], "left").withColumn("speaker", F.coalesce("mapped", F.concat(F.lit("\u0000"), "speaker"))).drop("mapped")
@@ -195,12 +219,11 @@ def timestamp_error(ref: DataFrame, hyp: DataFrame, key: str, least: float = 0.5
         return rows.select(key, "speaker", F.col("pos").alias(f"pos_{tag}"), F.col("start").alias(f"s_{tag}"), F.col("end").alias(f"e_{tag}"), words.alias(f"w_{tag}"))
 
     a, b = side(ref, "a"), side(h, "b")
-    by_word = lambda x, w: x.withColumn("_w", F.explode(F.when(F.size(w) > 0, F.col(w)).otherwise(F.array(F.lit("")))))
-    shared = by_word(a, "w_a").select(key, "speaker", "_w", "pos_a", F.size("w_a").alias("n_a")).join(
-        by_word(b, "w_b").select(key, "speaker", "_w", "pos_b", F.size("w_b").alias("n_b")), [key, "speaker", "_w"]
-    )
-    both = shared.groupBy(key, "pos_a", "pos_b").agg(F.count("*").alias("n"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    score = F.when(F.col("n_a") + F.col("n_b") == 0, 1.0).otherwise(F.col("n") / F.greatest(F.col("n_a") + F.col("n_b") - F.col("n"), F.lit(1)))
+    pairs = _may_be_alike(a, b, [key, "speaker"], least)
+    both = pairs.join(a.select(key, "pos_a", "w_a"), [key, "pos_a"]).join(b.select(key, "pos_b", "w_b"), [key, "pos_b"])
+    n, whole = F.size(F.array_intersect("w_a", "w_b")), F.size("w_a") + F.size("w_b")
+    both = both.select(key, "pos_a", "pos_b", n.alias("n"), whole.alias("_all"))
+    score = F.when(F.col("_all") == 0, 1.0).otherwise(F.col("n") / F.greatest(F.col("_all") - F.col("n"), F.lit(1)))
     near = both.withColumn("score", score).where(F.col("score") > least)
     near = near.join(a.select(key, "pos_a", "s_a", "e_a"), [key, "pos_a"]).join(b.select(key, "pos_b", "s_b", "e_b"), [key, "pos_b"])
 
@@ -245,6 +268,8 @@ def record_metrics(ref: DataFrame, hyp: DataFrame, key: str) -> DataFrame:
     Where nothing is heard the rates are at their worst, but the timestamp error, a mean over
     matched segments, is 0: ``unmatched`` tells how many segments have none.
     """
+    stages = Stages()  # both sides are read by four metrics
+    ref, hyp = stages.keep(ref, "gates-ref"), stages.keep(hyp, "gates-hyp")
     one = lambda s: s.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "pos", "text"))), lambda x: x["text"]), " ").alias("text"))
     out = mixed_error_rate(one(ref), one(hyp), key).select(key, "mer")
     out = out.join(cpwer(ref, hyp, key).select(key, "cpwer"), key, "left")

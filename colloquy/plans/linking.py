@@ -78,6 +78,13 @@ def swept_labels(spark, d):
     return out
 
 
+def global_speakers(spark, d):
+    """Vectors as segments of a recording of ten, every seventh too short to count."""
+    e = _embeddings(spark, d, FEW).select("rec", "vec_id", "embedding", F.when(F.col("vec_id") % 7 == 3, 0.1).otherwise(2.0).alias("seconds"), F.lit("?").alias("speaker"))
+    got = linkage.global_speakers(e, "rec", "vec_id", "seconds", "embedding", 0.9)
+    return got.groupBy("rec", "speaker").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+
+
 def constrained_speakers(spark, d):
     """Ten neighbouring vectors are a window that tells three voices apart by their labels."""
     e = _embeddings(spark, d, MANY).withColumns({
@@ -135,5 +142,8 @@ SQL = {
         k AS (SELECT st.rec, threshold, max(CASE WHEN coalesce(h, -1) <= threshold THEN step END) AS step FROM st, t GROUP BY ALL)
         SELECT k.rec, threshold, count(*) AS clusters, max(n)::BIGINT AS largest FROM k JOIN st USING (rec, step) GROUP BY k.rec, threshold""",
 }
+SQL["global_speakers"] = f"""WITH RECURSIVE {_MERGED.replace("FROM embeddings", "FROM embeddings WHERE vec_id % 7 <> 3")},
+    k AS (SELECT rec, max(CASE WHEN coalesce(h, -1) <= 0.9 THEN step END) AS step FROM st GROUP BY rec)
+    SELECT rec, printf('S%02d', row_number() OVER (PARTITION BY rec ORDER BY id)) AS speaker, id AS first, n::BIGINT AS n FROM st JOIN k USING (rec, step)"""
 ROWS_ONLY = ["swept_labels", "constrained_speakers", "estimated_speakers", "diarized_regions"]
 QUERIES: dict = {name: globals()[name] for name in [*SQL, *ROWS_ONLY]}

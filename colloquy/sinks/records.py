@@ -49,3 +49,21 @@ def append_records(lines: DataFrame, good: str, rejected: str, checkpoint: str,
         rows.unpersist()
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(every or {"availableNow": True})).start()
+
+
+def gate_reports(gates: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
+    """``(keys, value)``: one line of JSON for each run: its gates' values and the verdict.
+
+    ``gates`` are ``(keys, gate, value, passed)``; the verdict is PASS if all of a run's gates
+    have passed.  Gates stand in the order of their names; one without a value is left out.
+    """
+    named = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("gate", F.round("value", digits).alias("value")))))
+    line = F.transform(named, lambda x: F.concat(_quoted(x["gate"]), F.lit(":"), x["value"].cast("string")))
+    verdict = F.when(F.every(F.coalesce("passed", F.lit(False))), "PASS").otherwise("FAIL")
+    by = gates.groupBy(*keys).agg(line.alias("_l"), verdict.alias("_v"))
+    return by.select(*keys, F.concat(F.lit("{"), F.array_join(F.concat("_l", F.array(F.concat(F.lit('"verdict":"'), "_v", F.lit('"')))), ","), F.lit("}")).alias("value"))
+
+
+def append_lines(lines: DataFrame, path: str) -> None:
+    """Put lines (a ``value`` column) after those of the log that are there."""
+    lines.select("value").write.mode("append").text(path)

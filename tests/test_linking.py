@@ -322,3 +322,10 @@ def test_labels_of_any_type(spark):
     rows = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.1]), (3, [0.0, 0.0])], "i long, v array<double>")
     got = {x.i: (x.nearest, round(x.similarity, 6)) for x in vectors.nearest(rows, "v", e, "who").collect()}
     assert got == {1: ("a", 1.0), 2: ("c", 1.0), 3: ("a", 0.0)}
+
+
+def test_speakers_of_the_whole_recording(spark):
+    rows = [("r", 0, 0.2, [1.0, 0.0], "x"), ("r", 1, 1.0, [0.0, 1.0], "x"), ("r", 2, 1.0, [1.0, 0.1], "x"), ("r", 3, 1.0, [0.1, 1.0], "x"), ("r", 4, 1.0, None, "x"), ("s", 0, 1.0, [1.0, 0.0], "y"), ("s", 1, 0.1, [1.0, 0.0], "z"), ("t", 0, 0.1, None, "w")]
+    df = spark.createDataFrame(rows, "rec string, pos long, sec double, v array<double>, speaker string")
+    got = sorted((r.rec, r.pos, r.speaker) for r in linkage.global_speakers(df, "rec", "pos", "sec", "v").collect())
+    assert got == [("r", 1, "S01"), ("r", 2, "S02"), ("r", 3, "S01"), ("s", 0, "y"), ("s", 1, "z"), ("t", 0, "w")]

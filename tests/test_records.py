@@ -257,3 +257,40 @@ def test_marked_segments_keep_empty_labels(spark):
     df = spark.createDataFrame([("[0.5][S01] a [1.00][1.00]b[2.0] x [3][S2]c[2]",), ("",), (None,)], "t string")
     got = [r.s and [tuple(x) for x in r.s] for r in df.select(generated.marked_segments(F.col("t")).alias("s")).collect()]
     assert got == [[(0.5, "[S01]", "a", 1.0), (1.0, "", "b", 2.0), (3.0, "[S2]", "c", 2.0)], [], None]
+
+
+def test_dialogues(spark):
+    turn = lambda who, text: {"speaker": who, "text": text}
+    good = [turn(" A ", "hi"), turn("B", " there "), turn("A", "x")]
+    cases = {
+        json.dumps(good): (["A", "B"], [("A", "hi"), ("B", "there"), ("A", "x")]),
+        "so:\n" + json.dumps(good, indent=1) + " done": (["A", "B"], [("A", "hi"), ("B", "there"), ("A", "x")]),
+        json.dumps(good[:1]): None, json.dumps([turn("A", "x"), turn("A", "y")]): None, json.dumps([turn("A", "x"), turn("B", "  ")]): None,
+        json.dumps([turn("A", "x"), turn(2, "y")]): None, json.dumps([turn("A", "x"), "y"]): None, json.dumps([turn(str(k), "x") for k in range(13)]): None,
+        "[": None, "": None, "[]": None, '{"a":1}': None, json.dumps([turn(str(k), "x") for k in range(12)]): ([str(k) for k in range(12)], [(str(k), "x") for k in range(12)]),
+    }
+    df = spark.createDataFrame([(t,) for t in [*cases, None]], "t string")
+    for r in df.select("t", generated.dialogue(F.col("t")).alias("d")).collect():
+        want = cases.get(r.t)
+        assert (r.d and (r.d.speakers, [tuple(x) for x in r.d.turns])) == want, r.t
+
+
+def test_gate_logs(spark, tmp_path):
+    df = spark.createDataFrame([("a", "mer", 0.123456, True), ("a", "d|er", 1.0, True), ("b", "mer", 2.0, False), ("b", "x", None, True)], "run string, gate string, value double, passed boolean")
+    lines = sinks.gate_reports(df, ["run"])
+    for _ in range(2):
+        sinks.append_lines(lines, str(tmp_path / "log"))
+    got = sorted(r.value for r in spark.read.text(str(tmp_path / "log")).collect())
+    assert got == sorted(['{"d|er":1.0,"mer":0.1235,"verdict":"PASS"}', '{"mer":2.0,"verdict":"FAIL"}'] * 2)
+
+
+def test_vocabularies(spark, tmp_path):
+    from colloquy.sources import vocabularies as vo
+
+    data = {"model": {"vocab": {"a": 0, "<0x0A>": 1, "<s>": 2, "[": 5}}, "added_tokens": [{"id": 2, "content": "<s>"}, {"id": 9, "content": "<pad>"}]}
+    (tmp_path / "t.json").write_text(json.dumps(data))
+    v = vo.read_vocabulary(spark, str(tmp_path / "t.json"))
+    assert sorted(tuple(r) for r in v.collect()) == [("<0x0A>", 1, "byte"), ("<pad>", 9, "special"), ("<s>", 2, "special"), ("[", 5, "plain"), ("a", 0, "plain")]
+    assert vo.vocabulary_size(v) == 10 and vo.vocabulary_size(v.limit(0)) == 0
+    assert vo.structural_ids(lambda t: [len(t)]) == {1, 3}
+    assert vo.target_glue_ids(lambda t: [len(t)], ["k"]) == {2, 3, 4, 5, 6, 8, 9}

@@ -285,6 +285,11 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op4_media(spark, sf_dir: str) -> DataFrame:
+    """Digests and features of every document's padded text as read back from the archives.
+
+    Null texts are empty, and an empty text is one block of zeros; repeated rows are members of
+    their own, and equal texts have equal values.  No documents: no members and no rows.
+    """
     folder = fresh_path(spark, "media")
     write_media(table(spark, sf_dir, "documents"), folder)
     return media_features(read_media(spark, folder))

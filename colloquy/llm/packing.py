@@ -120,7 +120,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
     """``(doc_id, piece, start, length, ids_crc32)``: each document's ids and end id, cut to fit.
 
     Null and empty texts have the end id alone.  Only longer documents are cut; all their
-    pieces but the first are full.
+    pieces but the first are full.  Repeated rows give their pieces each time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,4 +195,6 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence; nulls, empty, long and repeated
+    texts as in ``pack_documents`` and ``token_pieces``."""
     return pack_documents(table(spark, sf_dir, "documents"))

@@ -106,7 +106,10 @@ class Coder:
 
 
 def token_table(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, ids)``: ids of each text and the end id, as bytes of the id width."""
+    """``(doc_id, n_tokens, ids)``: ids of each text and the end id, as bytes of the id width.
+
+    Null and empty texts have the end id alone; repeated rows give repeated rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(vocabulary)
@@ -290,5 +293,9 @@ def token_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end
 
 
 def op6_token_files(spark, sf_dir: str) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32)`` of every document, read back from the written files.
+
+    Null and empty texts are the end id alone; a repeated row is encoded each time.
+    """
     manifest, freq = token_files(table(spark, sf_dir, "documents"), fresh_path(spark, "rans"))
     return read_files(manifest, freq)

@@ -230,6 +230,8 @@ def simhash_components(
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)`` of every document; nulls, empty and repeated texts as
+    in ``simhash`` and ``simhash_components``."""
     from colloquy.llm.common import table
 
     out = simhash_components(table(spark, sf_dir, "documents"))

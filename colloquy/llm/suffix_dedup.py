@@ -455,4 +455,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of every document; nulls, empty, long
+    and repeated texts as in ``suffix_dedup``."""
     return suffix_dedup(table(spark, sf_dir, "documents"))

@@ -84,6 +84,8 @@ def boundary_margins(spark, d):
 def dense_segments(spark, d):
     """Turns whose stops are spelt as ideographic ones, cut at the pace of their own speech."""
     s = segments(spark, d).withColumn("text", F.translate("text", ".,", "。，"))
+    # cutting costs far more than a row's bytes tell, so the rows are dealt out before it
+    s = s.repartition(spark.sparkContext.defaultParallelism, "conv_id", "pos")
     return shaping.densified(s, ["conv_id", "pos"], "text", "start", "end").select("conv_id", "pos", "piece", "start", "end", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 

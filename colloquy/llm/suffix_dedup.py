@@ -10,7 +10,9 @@ smaller id.  Equal windows must meet in one task, without one order over all suf
 3. Runs of windows with one repeated minimizer go, as short strings, to buckets by that
    minimizer, each distinct string of a block once, with the least document id that has it.
    A bucket builds the transforms of its shards, merges them and reads off, for each window
-   of each string, the least id in its repeated interval.
+   of each string, the least id in its repeated interval.  A minimizer with many different
+   strings (a common line, whose surroundings differ) would fill one bucket: its windows go
+   one by one, by the hash of the whole window, which is a function of their content as well.
 4. Blocks apply the answers to their documents.
 
 Blocks are never shuffled; a very common passage sends one copy a block.
@@ -45,6 +47,10 @@ SHARD_BYTES = 512 << 10
 HASH_BUCKET_TEXT, STRING_BUCKET_TEXT = 8 << 20, 1 << 20
 #: Further hash bits that part a bucket's strings inside its task: windows never cross them.
 SUB_BITS = 3
+#: Strings of one minimizer, over all blocks, beyond which its windows go by their own hashes.
+HOT_STRINGS = 4096
+#: Different strings of a minimizer in a block that are reported; fewer count as one.
+LEAST_COUNTED = 8
 #: Windows or bytes that one array step handles.
 STEP_ITEMS = 256 << 10
 _NONE = np.iinfo(np.int64).max
@@ -92,6 +98,34 @@ def runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start[first], np.diff(np.append(first, len(start))), doc[first], _mix(h[best[first]])
 
 
+def window_hashes(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the whole window from each of these places on."""
+    out = np.empty(len(first), np.uint64)
+    every = np.lib.stride_tricks.sliding_window_view(data, WINDOW) if len(first) else None
+    for k in range(0, len(first), STEP_ITEMS // 8):
+        own = every[first[k : k + STEP_ITEMS // 8]]
+        h = np.zeros(len(own), np.uint64)
+        for at in [*range(0, WINDOW - 7, 8), WINDOW - 8]:
+            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + own[:, at : at + 8].copy().view("<u8").ravel())
+        out[k : k + len(own)] = h
+    return out
+
+
+def strings_by_hash(data: np.ndarray, first: np.ndarray, n: np.ndarray, h: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sorted distinct hashes have ``LEAST_COUNTED`` different strings or more, and how many."""
+    key = np.searchsorted(keys, h)
+    own = np.flatnonzero((np.bincount(key, minlength=len(keys)) >= LEAST_COUNTED)[key])
+    key = key[own]
+    # a run has at most WINDOW - K + 1 windows, so its first and last cover it
+    said = window_hashes(data, first[own]) * np.uint64(0x9E3779B97F4A7C15) + window_hashes(data, first[own] + n[own] - 1) + n[own].astype(np.uint64)
+    order = np.lexsort((said, key))
+    key, said = key[order], said[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (said[1:] != said[:-1]))[: len(key)]
+    counts = np.bincount(key[new], minlength=len(keys))
+    many = np.flatnonzero(counts >= LEAST_COUNTED)
+    return many, counts[many]
+
+
 def distinct_hashes(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes, and which of them two documents or more of the block have."""
     order = np.argsort(hashes)
@@ -174,7 +208,7 @@ def _by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = {n: pa.binary() for n in ("payload", "lengths", "least", "subs")}
+    kinds = {n: pa.binary() for n in ("payload", "lengths", "least", "subs", "many")}
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds.get(n, pa.int64())) for k, n in enumerate(names)], names)
 
 
@@ -195,20 +229,24 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list
 def hash_rows(blocks: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
-            _, _, doc, h = b.runs()
+            first, n, doc, h = b.runs()
             keys, several = distinct_hashes(h, b.ids[doc])
+            many, counts = strings_by_hash(b.data, first, n, h, keys)
             marked = ((keys & ~np.uint64(1)) | several).astype("<u8")
             found, at = _by_bucket(keys, bits)
+            ends = np.searchsorted(many, at)
+            crowd = [np.stack([many[x:y] - a, counts[x:y]]).astype("<u4").tobytes() for a, x, y in zip(at, ends, ends[1:], strict=False)]
             yield _rows(
-                [(int(k), b.block, marked[x:y].tobytes()) for k, x, y in zip(found, at, at[1:], strict=False)],
-                ["bucket", "block", "payload"],
+                [(int(k), b.block, marked[x:y].tobytes(), c) for k, x, y, c in zip(found, at, at[1:], crowd, strict=False)],
+                ["bucket", "block", "payload", "many"],
             )
 
-    return blocks.select("part", "block", "doc_ids", "sizes", "data").mapInArrow(run, "bucket long, block long, payload binary")
+    return blocks.select("part", "block", "doc_ids", "sizes", "data").mapInArrow(run, "bucket long, block long, payload binary, many binary")
 
 
 def repeated_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block's hashes in a bucket, in order: a bit where another document has it too."""
+    """For each block's hashes in a bucket, in order: a bit where another document has it too, then
+    the places of those with more than ``HOT_STRINGS`` strings."""
     for bucket, rows in _grouped(batches):
         parts = [np.frombuffer(r[2], "<u8") for r in rows]
         marked = np.concatenate(parts)
@@ -221,8 +259,18 @@ def repeated_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         hit[order] = again
         hit |= several
         ends = np.cumsum([len(p) for p in parts])
+        strings = np.ones(len(k), np.int64)
+        for r, p, e in zip(rows, parts, ends.tolist(), strict=True):
+            own, counts = np.frombuffer(r[3], "<u4").reshape(2, -1).astype(np.int64)
+            strings[e - len(p) + own] = counts
+        at = np.flatnonzero(np.append(True, ~same))
+        over = np.add.reduceat(strings[order], at) > HOT_STRINGS
+        hot = np.zeros(len(k), bool)
+        if over.any():
+            hot[order] = np.repeat(over, np.diff(np.append(at, len(k))))
+        bits = lambda x, y: np.packbits(hit[x:y]).tobytes() + np.flatnonzero(hot[x:y]).astype("<u4").tobytes()
         yield _rows(
-            [(r[1] >> 32, r[1], bucket, np.packbits(hit[e - len(p) : e]).tobytes()) for r, p, e in zip(rows, parts, ends.tolist(), strict=True)],
+            [(r[1] >> 32, r[1], bucket, bits(e - len(p), e)) for r, p, e in zip(rows, parts, ends.tolist(), strict=True)],
             ["part", "block", "bucket", "payload"],
         )
 
@@ -236,32 +284,54 @@ def answers_by_part(rows: DataFrame, folder: str, tasks: int) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = fs.FileSystem.from_uri(folder)
-        for part, own in _grouped(batches):
-            t = pa.table({n: pa.array([r[k] for r in own], pa.binary() if n == "payload" else pa.int64()) for k, n in enumerate(["part", "block", "bucket", "payload"])})
+        at = mine = writer = None
+
+        def done():
             # every attempt writes the same rows; the rename leaves one whole file
-            mine = f"{path}/.{part}-{uuid.uuid4().hex}"
-            pq.write_table(t, mine, filesystem=where, compression="zstd")
-            where.move(mine, f"{path}/{part}.parquet")
-            yield _rows([(part,)], ["part"])
+            writer.close()
+            where.move(mine, f"{path}/{at}.parquet")
+            return _rows([(at,)], ["part"])
+
+        for b in batches:
+            part = b.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
+                if y == x:
+                    continue
+                if part[x] != at:
+                    if writer:
+                        yield done()
+                    at = int(part[x])
+                    mine = f"{path}/.{at}-{uuid.uuid4().hex}"
+                    writer = pq.ParquetWriter(mine, b.schema, filesystem=where, compression="zstd")
+                writer.write_batch(b.slice(x, y - x))
+        if writer:
+            yield done()
 
     rows.repartition(tasks, "part").sortWithinPartitions("part", "block", "bucket").mapInArrow(run, "part long").agg(F.count("*")).first()
 
 
 def answers_of(folder: str, block: int, held: dict) -> list[bytes]:
-    """A block's answers in the order of the buckets; ``held`` keeps the last part's file."""
+    """A block's answers in the order of the buckets; ``held`` keeps the last part's open file, and
+    only the row groups that have the block are read."""
     part = block >> 32
     if held.get("part") != part:
         where, path = fs.FileSystem.from_uri(folder)
         held.clear()
-        held["part"] = part
+        held["part"], held["groups"] = part, []
         name = f"{path}/{part}.parquet"
         if where.get_file_info(name).type == fs.FileType.File:
-            t = pq.read_table(name, filesystem=where, columns=["block", "payload"])
-            held["blocks"], held["rows"] = t["block"].to_numpy(), t["payload"].combine_chunks()
-        else:
-            held["blocks"], held["rows"] = np.zeros(0, np.int64), pa.array([], pa.binary())
-    a, b = np.searchsorted(held["blocks"], [block, block + 1])
-    return held["rows"].slice(a, b - a).to_pylist()
+            held["file"] = pq.ParquetFile(name, filesystem=where)
+            meta = held["file"].metadata
+            at = held["file"].schema_arrow.get_field_index("block")
+            held["groups"] = [(s.min, s.max) for s in (meta.row_group(k).column(at).statistics for k in range(meta.num_row_groups))]
+    out: list[bytes] = []
+    for k, (low, high) in enumerate(held["groups"]):
+        if low <= block <= high:
+            t = held["file"].read_row_group(k, columns=["block", "payload"])
+            a, b = np.searchsorted(t["block"].to_numpy(), [block, block + 1])
+            out += t["payload"].slice(a, b - a).to_pylist()
+    return out
 
 
 def _steps(n: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -277,7 +347,8 @@ def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Strings:
-    """A block's distinct strings of repeated windows, ordered by minimizer hash."""
+    """A block's distinct strings of repeated windows, ordered by minimizer hash; windows of a
+    minimizer with very many strings are strings of their own, under their own hashes."""
 
     def __init__(self, b: Block, flags: list[bytes], hash_bits: int, bits: int):
         first, n, doc, h = b.runs()
@@ -285,9 +356,19 @@ class Strings:
         _, at = _by_bucket(keys, hash_bits)
         hit = [np.unpackbits(np.frombuffer(f, np.uint8))[: y - x] for f, x, y in zip(flags, at, at[1:], strict=False)]
         hit = np.concatenate(hit).astype(bool) if hit else np.zeros(0, bool)
-        kept = np.flatnonzero(hit[np.searchsorted(keys, h)]) if len(h) else np.zeros(0, np.int64)
-        kept = kept[np.argsort(h[kept], kind="stable")]
-        self.first, self.n, self.doc, h = first[kept], n[kept], doc[kept], h[kept]
+        hot = np.zeros(len(keys), bool)
+        for f, x, y in zip(flags, at, at[1:], strict=False):
+            hot[x + np.frombuffer(f[(y - x + 7) // 8 :], "<u4")] = True
+        key = np.searchsorted(keys, h)
+        kept = np.flatnonzero(hit[key])
+        first, n, doc, h, hot = first[kept], n[kept], doc[kept], h[kept], hot[key[kept]]
+        if hot.any():
+            each = _spread(first[hot], n[hot])
+            doc = np.concatenate([doc[~hot], np.repeat(doc[hot], n[hot])])
+            h = np.concatenate([h[~hot], window_hashes(b.data, each)])
+            first, n = np.concatenate([first[~hot], each]), np.concatenate([n[~hot], np.ones(len(each), np.int64)])
+        order = np.argsort(h, kind="stable")
+        self.first, self.n, self.doc, h = first[order], n[order], doc[order], h[order]
         lengths = self.n + WINDOW - 1
         ends = np.append(0, np.cumsum(lengths))
         flat = b"".join(b.data[_spread(self.first[x:y], lengths[x:y])].tobytes() for x, y in _steps(lengths))

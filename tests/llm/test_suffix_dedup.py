@@ -43,6 +43,21 @@ def test_many_shared_passages(spark):
     assert got(sd.suffix_dedup(frame(spark, rows))) == brute(rows)
 
 
+def test_a_line_with_different_surroundings_fills_no_bucket(spark):
+    line = prose(7, 8)[:64]
+    rows = [(k, f"{hashlib.md5(b'%d' % k).hexdigest()} {line} {hashlib.md5(b'-%d' % k).hexdigest()}") for k in range(12_000)]
+    docs = frame(spark, rows, clash=False)
+    assert got(sd.suffix_dedup(docs)) == brute(rows)
+    blocks = sd.stage(sd.pack_blocks(docs, "doc_id", "text", []), "blocks")
+    flags = sd.fresh_path(spark, "flags")
+    bits = sd.hash_rows(blocks, 6).repartition(4, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(sd.repeated_bits, sd._ANSWER)
+    sd.answers_by_part(bits, flags, 4)
+    sent = sd.string_rows(blocks, flags, 6, 6).selectExpr("bucket", "length(payload) AS n").groupBy("bucket").sum("n").collect()
+    # a minimizer with fewer strings stays whole: runs are of at most 2 * WINDOW - K bytes
+    even = sum(r[1] for r in sent) // 64
+    assert max(r[1] for r in sent) < 2 * even + sd.HOT_STRINGS * (2 * sd.WINDOW - sd.K)
+
+
 def test_empty_table(spark):
     assert sd.suffix_dedup(empty(spark)).count() == 0
 

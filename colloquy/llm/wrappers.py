@@ -13,11 +13,11 @@ from __future__ import annotations
 import html
 import json
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate, groupby
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -29,10 +29,11 @@ from colloquy.llm.common import stage, table
 LONGEST_GROUP = 16
 #: Parts a host's streams are dealt to, level by level, before they are merged.
 SALTS = (4096, 64, 1)
-#: Most cells of one alignment table; longer gaps are cut at items that occur once on both sides.
-MOST_CELLS = 250_000
-#: Most items of a wrapper.  A stream that would make it longer stays out, and its pages are
-#: read each by itself.
+#: Cells of an alignment table beyond which it is filled a row at once, and of how many cells of
+#: those rows the steps are held at a time.
+MOST_CELLS, HELD_CELLS = 250_000, 32 << 20
+#: Items of a wrapper from which on streams that have little in common with it get a further
+#: wrapper of their host; no stream stays out.
 MOST_ITEMS = 2000
 #: Pages that must agree on a text before it counts as the template's.
 LEAST_PAGES = 3
@@ -214,29 +215,72 @@ def _table(left: list, right: list) -> list[tuple[int, int]]:
     return out
 
 
-def _anchors(left: list, right: list) -> list[tuple[int, int]]:
-    """Pairs of equal items that occur once on either side, in rising order on both."""
-    n, m = Counter(left), Counter(right)
-    a = {v: k for k, v in enumerate(left) if n[v] == 1}
-    b = {v: k for k, v in enumerate(right) if m[v] == 1}
-    pairs = sorted((k, b[v]) for v, k in a.items() if v in b)
-    tops, at, back = [], [], {}
-    for i, j in pairs:
-        k = bisect_left(tops, j)
-        back[i] = at[k - 1] if k else None
-        tops[k : k + 1], at[k : k + 1] = [j], [(i, j)]
-    out, x = [], at[-1] if at else None
-    while x:
-        out.append(x)
-        x = back[x[0]]
-    return out[::-1]
+def _row_table(left: list, right: list, held: int) -> list[tuple[int, int]]:
+    """The same alignment as ``_table``, a row of the table at once.
+
+    Steps of ``held`` cells at most are kept; the other rows are filled again from scores kept
+    between such blocks of rows, when the way through them is read.
+    """
+    n, m = len(left), len(right)
+    ids: dict = {}
+    number = lambda x: ids.setdefault(x, len(ids))
+    own, other = [number(x) for x in left], np.array([number(x) for x in right])
+    runs = {k: [number(x) for x in w[1]] for k, w in enumerate(left) if isinstance(w, tuple)}
+    places: dict = {}
+    for j, p in enumerate(right):
+        if isinstance(p, tuple):
+            places.setdefault(p, []).append(j)
+    places = {p: np.array(js) for p, js in places.items()}
+    far = max([1, *map(len, runs.values()), *(len(p[1]) for p in places)])
+
+    def row(i: int, rows: dict) -> tuple[np.ndarray, np.ndarray]:
+        below = rows[i + 1]
+        equal = other == own[i]
+        best, how = np.full(m, -1), np.zeros(m, np.int8)
+        best[equal], how[equal] = below[1:][equal] + 2, 2
+        # a repeated group matches one run of it, on either side
+        if (run := runs.get(i)) and len(run) <= m:
+            k, hit = len(run), ~equal[: m - len(run) + 1]
+            for x, g in enumerate(run):
+                hit &= other[x : m - k + 1 + x] == g
+            at = np.flatnonzero(hit)
+            best[at], how[at] = below[at + k] + 2 * k, 2 + k
+        for p, js in places.items():
+            k = len(p[1])
+            if left[i] != p and left[i : i + k] == list(p[1]):
+                s = rows[i + k][js + 1] + 2 * k
+                js = js[s >= best[js]]
+                best[js], how[js] = rows[i + k][js + 1] + 2 * k, -k
+        score = np.zeros(m + 1, np.int64)
+        score[:m] = np.maximum.accumulate(np.maximum(below[:m], best)[::-1])[::-1]
+        return score, np.where(best == score[:m], how, np.where(score[1:] > below[:m], 1, 0)).astype(np.int8)
+
+    block = max(1, held // max(m, 1))
+    rows, kept = {n + k: np.zeros(m + 1, np.int64) for k in range(far)}, {}
+    for i in range(n - 1, -1, -1):
+        if (i + 1) % block == 0 or i == n - 1:
+            kept[i // block] = dict(rows)
+        rows[i], _ = row(i, rows)
+        rows.pop(i + far, None)
+    out, i, j, at, steps = [], 0, 0, -1, []
+    while i < n and j < m:
+        if i // block != at:
+            at = i // block
+            rows, steps = kept.pop(at), {}
+            for k in range(min(n, (at + 1) * block) - 1, i - 1, -1):
+                rows[k], steps[k] = row(k, rows)
+                rows.pop(k + far, None)
+        way = int(steps[i][j])
+        a, b = {0: (1, 0), 1: (0, 1), 2: (1, 1)}.get(way) or ((1, way - 2) if way > 0 else (-way, 1))
+        out.append((a, b))
+        i, j = i + a, j + b
+    return out + [(1, 0)] * (n - i) + [(0, 1)] * (m - j)
 
 
 def align(left: list, right: list) -> list[tuple[int, int, int, int]]:
     """Alignment as pieces (left from, to, right from, to), either side possibly empty.
 
-    Equal ends are taken off first.  A table of more than ``MOST_CELLS`` cells is cut at
-    anchors; where there are none, the two sides stay unmatched.
+    Equal ends are taken off first.
     """
     n, m, head = len(left), len(right), 0
     while head < min(n, m) and left[head] == right[head]:
@@ -246,18 +290,7 @@ def align(left: list, right: list) -> list[tuple[int, int, int, int]]:
         tail += 1
     steps = [(1, 1)] * head
     a, b = left[head : n - tail], right[head : m - tail]
-    if len(a) * len(b) <= MOST_CELLS:
-        steps += _table(a, b)
-    else:
-        i = j = 0
-        for x, y in [*_anchors(a, b), (len(a), len(b))]:
-            if (x - i) * (y - j) <= MOST_CELLS:
-                steps += _table(a[i:x], b[j:y])
-            else:
-                steps += [(1, 0)] * (x - i) + [(0, 1)] * (y - j)
-            if x < len(a):
-                steps.append((1, 1))
-            i, j = x + 1, y + 1
+    steps += _table(a, b) if len(a) * len(b) <= MOST_CELLS else _row_table(a, b, HELD_CELLS)
     steps += [(1, 1)] * tail
     out, i, j = [], 0, 0
     for p, q in steps:
@@ -476,7 +509,7 @@ def streams(pages: DataFrame) -> DataFrame:
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 atoms, texts = stream(page or "")
                 items, slots = fold(atoms)
-                if not slots or len(items) > MOST_ITEMS:
+                if not slots:
                     continue
                 new, key = Wrapper.of_page(items, slots, texts), (host, _name(items))
                 seen[key] = seen[key].merged(new) if key in seen else new
@@ -489,7 +522,8 @@ def streams(pages: DataFrame) -> DataFrame:
 
 
 def _merged(rows: DataFrame, tasks: int) -> DataFrame:
-    """One wrapper of all rows with the same host and salt."""
+    """Wrappers of all rows with the same host and salt: one, or as many as it takes for each to
+    stay short or be of streams that have much in common.  Every stream is part of one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -501,17 +535,24 @@ def _merged(rows: DataFrame, tasks: int) -> DataFrame:
                 same[key] = same[key].merged(w) if key in same else w
             # the commonest first, so that the rest is aligned with what most pages have
             rest = sorted(same.values(), key=lambda w: (-max((h[1] for h in w.held), default=0), w.to_json()))
-            whole = rest[0]
-            for w in rest[1:]:
-                more = whole.merged(w)
-                whole = more if len(more.items) <= MOST_ITEMS else whole
-            yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([salt], pa.int64()), pa.array([whole.to_json()])], ["host", "salt", "wrapper"])
+            found: list[Wrapper] = []
+            for w in rest:
+                for k, whole in enumerate(found):
+                    more = whole.merged(w)
+                    if len(more.items) <= max(MOST_ITEMS, 2 * min(len(whole.items), len(w.items))):
+                        found[k] = more
+                        break
+                else:
+                    found.append(w)
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array([host] * n), pa.array([salt] * n, pa.int64()), pa.array([w.to_json() for w in found])], ["host", "salt", "wrapper"])
 
     return rows.repartition(tasks, "host", "salt").sortWithinPartitions("host", "salt", "wrapper").mapInArrow(run, _WRAPPER)
 
 
 def infer(seen: DataFrame) -> DataFrame:
-    """``(host, wrapper)`` from all streams: level by level, in parts that get fewer."""
+    """``(host, wrapper)`` from all streams: level by level, in parts that get fewer.  A host whose
+    streams have little in common and are long has several."""
     tasks = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for n in SALTS:
         seen = _merged(seen.withColumn("salt", F.pmod("salt", F.lit(n))), tasks)
@@ -521,13 +562,13 @@ def infer(seen: DataFrame) -> DataFrame:
 def labels(seen: DataFrame, wrappers: DataFrame) -> DataFrame:
     """``(host, stream, main)``: by stream of a host, which of its text slots are main text.
 
-    A slot without a place in the wrapper is main where all the wrapper's slots of its path are.
+    Of several wrappers the one decides that has places for most of the stream's slots.  A slot without a place in the wrapper is main where all the wrapper's slots of its path are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[Wrapper, set[int], set[str]]] = {}
         for b in batches:
-            out = []
+            out, placed = [], []
             for own, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if text not in held:
                     held.clear()
@@ -536,11 +577,15 @@ def labels(seen: DataFrame, wrappers: DataFrame) -> DataFrame:
                     held[text] = w, main, {paths[k] for k in main} - {p for k, p in enumerate(paths) if k not in main}
                 w, main, all_main = held[text]
                 items = Wrapper.from_json(own).items
-                out.append([k in main if k >= 0 else p in all_main for k, p in zip(w.places(items), slot_paths(items), strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.bool_()))], ["host", "stream", "main"])
+                places = w.places(items)
+                placed.append(sum(k >= 0 for k in places))
+                out.append([k in main if k >= 0 else p in all_main for k, p in zip(places, slot_paths(items), strict=True)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], b.column(4), pa.array(placed, pa.int64()), pa.array(out, pa.list_(pa.bool_()))], ["host", "stream", "name", "placed", "main"])
 
     one = seen.groupBy("host", "salt").agg(F.min("wrapper").alias("own"))
-    return one.join(wrappers, "host").select("host", "salt", "own", "wrapper").mapInArrow(run, "host string, stream long, main array<boolean>")
+    both = one.join(wrappers, "host").select("host", "salt", "own", "wrapper", F.xxhash64("wrapper").alias("name"))
+    said = both.mapInArrow(run, "host string, stream long, name long, placed long, main array<boolean>")
+    return said.groupBy("host", "stream").agg(F.max_by("main", F.struct("placed", "name")).alias("main"))
 
 
 _READ = "page_id {}, url {}, host string, stream long, texts array<string>, slots array<int>, own array<boolean>"

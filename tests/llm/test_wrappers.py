@@ -1,3 +1,5 @@
+import random
+
 from colloquy.llm import wrappers as w
 from pyspark.sql import functions as F
 
@@ -153,3 +155,26 @@ def test_pages_of_other_layouts_keep_their_text(spark):
     want |= {20: "One is long enough Two", 30: text(30, 1), 31: "Plain 31 text", 32: "Kept Item"}
     got = {r.page_id: r.text for r in w.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
+
+
+def test_long_tables_align_like_short_ones():
+    r = random.Random(5)
+    for n in range(300):
+        some = [*"abcd", ("+", ("a",)), ("+", ("a", "b")), ("+", ("b", ("+", ("a",))))]
+        left, right = ([r.choice(some) for _ in range(r.randrange(25))] for _ in range(2))
+        assert w._row_table(left, right, r.choice([1, 40, 10_000])) == w._table(left, right), n
+
+
+def test_pages_with_very_many_items_have_a_wrapper(spark):
+    def page(k):
+        rows = "".join(f"<div class=r{(j * 7919 + j // 3) % 977}><p>{'fixed' if j % 2 else f'own {k} {j}'}</p></div>" for j in range(900))
+        return f"<html><body><div class=x><p>Same words everywhere</p>{rows}</div></body></html>"
+
+    pages = spark.createDataFrame([(k, f"https://long.example/{k}", page(k)) for k in range(4)], "page_id long, url string, html string")
+    assert len(w.fold(w.stream(page(1))[0])[0]) > w.MOST_ITEMS
+    seen = w.stage(w.streams(pages.withColumn("host", F.lit("long.example"))), "streams")
+    assert seen.count() > 0
+    found = w.labels(seen, w.infer(seen))
+    assert found.count() == 1
+    text = w.main_text(pages).where("page_id = 3").first().text
+    assert "Same words everywhere" not in text and "own 3 0" in text and "own 3 898" in text

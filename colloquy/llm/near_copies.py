@@ -1,7 +1,7 @@
 """Near copies of a corpus: SimHash codes meet within a wide radius, exact Jaccard decides.
 
 Codes within the radius agree on all but ``RADIUS`` of the bands, so any two meet under some
-key.  A first pass finds links that span the candidates, under a few choices of bands and then,
+key, and the BK-tree of a key's shard, which goes to its own task, finds them.  A first pass finds links that span the candidates, under a few choices of bands and then,
 between the clusters found so far, under all; it verifies one link a document, which contracts
 dense clusters.  A second pass finds every pair that is still apart and verifies it.
 """
@@ -36,6 +36,8 @@ FIRST_CHOICES = [c for c in CHOICES if c[0] % 2 == 0 and c[1] == c[0] + 1]
 SHARD_ROWS = 16_384
 #: Buckets of the sketch of a shingle set, a multiple of 64.
 SKETCH_BITS = 512
+#: Codes that a BK-tree keeps in one leaf.
+LEAF = 128
 #: Distances taken at once.
 BLOCK = 1 << 19
 
@@ -72,20 +74,58 @@ def may_be_similar(n: np.ndarray, sketches: np.ndarray, x: np.ndarray, y: np.nda
     return out
 
 
+def bk_tree(codes: np.ndarray, rows: np.ndarray) -> tuple:
+    """``(rows, pivot, children)``: a BK-tree of the codes at ``rows``; a leaf has no pivot.
+
+    A node keeps the rows of its pivot's code, and a child for each distance from it.
+    """
+    if len(rows) <= LEAF:
+        return rows, None, ()
+    pivot = codes[rows[0]]
+    far = np.bitwise_count(codes[rows] ^ pivot)
+    return rows[far == 0], pivot, [(int(k), bk_tree(codes, rows[far == k])) for k in np.unique(far) if k]
+
+
+def _meetings(tree: tuple, codes: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of asked rows and of rows in the tree, in which all pairs within the radius meet: an
+    edge is followed where its distance is within the radius of the asked code's."""
+    todo = [(tree, asked)]
+    while todo:
+        (rows, pivot, children), asked = todo.pop()
+        near = asked
+        if pivot is not None:
+            far = np.bitwise_count(codes[asked] ^ pivot).astype(np.int64)
+            near = asked[far <= RADIUS]
+            for k, child in children:
+                some = asked[np.abs(far - k) <= RADIUS]
+                if len(some):
+                    todo.append((child, some))
+        step = max(1, BLOCK // max(len(rows), 1))
+        for k in range(0, len(near) if len(rows) else 0, step):
+            yield near[k : k + step], rows
+
+
+def _sides(codes, sides) -> list[tuple[tuple, np.ndarray]]:
+    """Trees and the rows that ask them: all rows, or each side the other's tree."""
+    every = np.arange(len(codes))
+    if not sides.any():
+        return [(bk_tree(codes, every), every)]
+    return [(bk_tree(codes, every[sides == s]), every[sides == 3 - s]) for s in (1, 2)]
+
+
 def _hits(ids, codes, comps, sides, most: int | None, n=None, sketches=None):
     """Positions of all pairs within the radius whose components differ; None if over ``most``.
 
     With sketches, pairs that can't be similar are left out.
     """
-    left, right, size, k = [], [], len(codes), 0
-    found = 0
-    while k < size:
-        step = max(1, BLOCK // (size - k))
-        x, y = np.nonzero(np.bitwise_count(codes[k : k + step, None] ^ codes[None, k:]) <= RADIUS)
-        x, y = x + k, y + k
-        ok = (x < y) & (comps[x] != comps[y]) & (ids[x] != ids[y])
-        if sides.any():
-            ok &= (sides[x] + sides[y] == 3) | (sides[x] + sides[y] == 0)
+    left, right, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    tree, asked = _sides(codes, sides)[0]
+    for q, r in _meetings(tree, codes, asked):
+        x, y = np.nonzero(np.bitwise_count(codes[q][:, None] ^ codes[r][None, :]) <= RADIUS)
+        x, y = q[x], r[y]
+        ok = (comps[x] != comps[y]) & (ids[x] != ids[y])
+        if not sides.any():
+            ok &= x < y
         x, y = x[ok], y[ok]
         if sketches is not None:
             ok = may_be_similar(n, sketches, x, y)
@@ -95,33 +135,52 @@ def _hits(ids, codes, comps, sides, most: int | None, n=None, sketches=None):
         found += len(x)
         if most is not None and found > most:
             return None
-        k += step
     return np.concatenate(left), np.concatenate(right)
 
 
 def _spanning(ids, codes, comps, sides):
     """Pairs within the radius that join whatever all such pairs join: all of them if they are no
-    more than the codes, else a forest grown from the smallest id, fewer than the codes."""
+    more than the codes, else a forest, fewer than the codes.
+
+    The forest grows in rounds: each code asks for one within the radius that is in another
+    tree of the forest, so the trees with such a neighbour at least halve.
+    """
     got = _hits(ids, codes, comps, sides, len(codes))
     if got is not None:
         return got
-    left = np.argsort(ids, kind="stable")
-    x, y = [], []
-    while len(left):
-        todo, left = [left[0]], left[1:]
-        while todo and len(left):
-            at = todo.pop(0)
-            near = np.bitwise_count(codes[left] ^ codes[at]) <= RADIUS
-            if sides[at]:
-                near &= sides[left] == 3 - sides[at]
-            new = left[near]
-            x += [at] * len(new)
-            y += new.tolist()
-            todo += new.tolist()
-            left = left[~near]
-    x, y = np.array(x, np.int64), np.array(y, np.int64)
-    ok = (ids[x] != ids[y]) & (comps[x] != comps[y])
-    return x[ok], y[ok]
+    trees, up = _sides(codes, sides), list(range(len(codes)))
+
+    def find(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    _, root = np.unique(comps, return_index=True)  # what is joined already is one tree
+    at = root[np.searchsorted(comps[root], comps)]
+    for k, r in enumerate(at.tolist()):
+        up[k] = r
+    left, right, alive = [], [], np.ones(len(codes), bool)
+    while True:
+        other = np.full(len(codes), -1, np.int64)
+        for tree, asked in trees:
+            for q, r in _meetings(tree, codes, asked[alive[asked]]):
+                q = q[other[q] < 0]
+                hit = (np.bitwise_count(codes[q][:, None] ^ codes[r][None, :]) <= RADIUS) & (at[q][:, None] != at[r][None, :])
+                any_ = hit.any(axis=1)
+                other[q[any_]] = r[hit[any_].argmax(axis=1)]
+        asking = np.flatnonzero(other >= 0)
+        if not len(asking):
+            return np.array(left, np.int64), np.array(right, np.int64)
+        # a code without a neighbour in another tree never gets one
+        alive &= other >= 0
+        for x, y in zip(asking.tolist(), other[asking].tolist(), strict=True):
+            a, b = find(x), find(y)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                left.append(x)
+                right.append(y)
+        at = np.array([find(k) for k in range(len(codes))])
 
 
 def _keyed(codes: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:

@@ -78,3 +78,20 @@ def test_sketches_never_reject_a_similar_pair():
     x = np.arange(0, len(sets), 2)
     got = nc.may_be_similar(n, sk, x, x + 1)
     assert all(g for g, s in zip(got, similar, strict=True) if s) and not got.all()
+
+
+def test_shards_are_searched_by_a_tree_that_leaves_far_codes_out():
+    import numpy as np
+
+    r = random.Random(4)
+    codes = [b ^ sum({1 << r.randrange(64) for _ in range(r.randrange(8))}) for b in (0, (1 << 64) - 1) for _ in range(400)]
+    fps, every = np.array(codes, np.uint64), np.arange(800)
+    tree = nc.bk_tree(fps, every)
+    assert tree[1] is not None and all(len(child[0]) <= 400 for _, child in tree[2])
+    asked = [(x, y) for q, rows in nc._meetings(tree, fps, every) for x in q.tolist() for y in rows.tolist()]
+    near = {(x, y) for x in range(800) for y in range(800) if (codes[x] ^ codes[y]).bit_count() <= nc.RADIUS}
+    assert len(asked) == len(set(asked)) <= 400 * 800 and near <= set(asked)
+    none = np.zeros(800, np.int64)
+    x, y = nc._spanning(every, fps, every, none)
+    assert {*zip(x.tolist(), y.tolist(), strict=True)} <= near and components(zip(x.tolist(), y.tolist(), strict=True), 800) == components(near, 800)
+    assert len(x) < 800

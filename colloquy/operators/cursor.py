@@ -8,6 +8,9 @@ the first ``2^k`` of them and the jump over ``2^k`` cuts give the first ``2^(k+1
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +32,26 @@ def next_cuts(frames: DataFrame, key: str, place: str, energy: str, window: int,
         raise ValueError("a pause lies within the snap, and the snap within the window")
     rows = frames.select(key, F.col(place).cast("long").alias("start"), F.col(energy).alias("_e"))
     rows = rows.withColumn("_b", F.explode(F.sequence(F.floor((F.col("start") - window) / block), F.floor(F.col("start") / block)))).where("_b >= 0")
-    order = Window.partitionBy(key, "_b").orderBy("start")
-    quiet = F.struct(F.sum("_e").over(order.rowsBetween(0, pool - 1)).alias("e"), F.col("start").alias("at"))
-    rows = rows.withColumns({"_q": quiet, "_end": F.lead("start", window).over(order), "_some": F.lead("start", least - 1).over(order)})
-    rows = rows.withColumns({"_best": F.min("_q").over(order.rowsBetween(window - snap, window - pool)), "_upto": F.max("start").over(order.rowsBetween(0, window))})
-    own = rows.where((F.floor(F.col("start") / block) == F.col("_b")) & F.col("_some").isNotNull())
-    last = F.col("_end").isNull()
-    return own.select(key, "start", F.when(last, F.col("_upto") + 1).otherwise(F.col("_best.at") + pool // 2).alias("cut"), last.alias("last"))
+    kinds = dict(frames.dtypes)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("start")
+        start, n = t["start"].to_numpy(), t.num_rows
+        e = pc.fill_null(t["_e"], 0).to_numpy()
+        known = t["_e"].is_valid().to_numpy().astype(np.int64)
+        shifted = lambda x: sum(np.append(x[k:], np.zeros(min(k, n), x.dtype)) for k in range(pool))
+        # frames without any energy are the quietest
+        quiet = np.where(shifted(known) > 0, shifted(e), -np.inf if e.dtype.kind == "f" else np.iinfo(np.int64).min)
+        own = np.flatnonzero((start // block == t["_b"][0].as_py())[: max(n - least + 1, 0)])
+        whole = own[own + window < n]
+        cut = np.full(len(own), start[-1] + 1)
+        if len(whole):
+            near = np.lib.stride_tricks.sliding_window_view(quiet, snap - pool + 1)
+            # the first of equally quiet ones
+            cut[: len(whole)] = start[whole + window - snap + near[whole[0] + window - snap : whole[-1] + window - snap + 1].argmin(axis=1)] + pool // 2
+        return pa.table({key: t[key].slice(0, len(own)), "start": start[own], "cut": cut, "last": own + window >= n})
+
+    return rows.groupBy(key, "_b").applyInArrow(run, f"{key} {kinds[key]}, start long, cut long, last boolean")
 
 
 def followed(jumps: DataFrame, key: str, start: str, to: str) -> DataFrame:

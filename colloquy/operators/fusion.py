@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,12 +82,36 @@ def has_times(record: Column, path: str) -> Column:
     return F.coalesce(F.exists(items, lambda x: kind(x).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)")), F.lit(False))
 
 
+def most_of_a_run(text: str, n: int) -> int:
+    """How often the commonest run of ``n`` letters stands in a text, its last run left out."""
+    if len(text) <= n:
+        return 0
+    _, rank = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)
+    width = 1
+    while width < n:
+        # runs of one width, by their ranks, give those of up to twice the width
+        more = min(width, n - width)
+        _, rank = np.unique(rank[: len(rank) - more] * len(text) + rank[more:], return_inverse=True)
+        width += more
+    return int(np.bincount(rank[: len(text) - n]).max())
+
+
+def top_gram(text: Column, n: int) -> Column:
+    """``most_of_a_run`` of each text; null counts as empty."""
+
+    @F.arrow_udf("long")
+    def batch(texts: pa.Array) -> pa.Array:
+        return pa.array([most_of_a_run(t.as_py() or "", n) for t in texts], pa.int64())
+
+    return batch(text)
+
+
 def health(segments: DataFrame, key: str, n: int = 12) -> DataFrame:
     """``(key, markers, speakers, median_ms, max_repeat, dup_ratio, top_gram, chars, monotone)``.
 
     ``segments`` are ``(key, pos, start, end, speaker, text)``.  ``top_gram`` is how often the
     commonest run of ``n`` letters stands in the joined texts, the last run left out; runs are
-    counted as rows, whatever the length of the texts.
+    counted where the joined text is, and none of them is shuffled.
     """
     order = Window.partitionBy(key).orderBy("pos")
     s = segments.withColumn("_t", F.trim("text")).withColumn("_back", F.coalesce(F.col("start") < F.lag("start").over(order), F.lit(False)))
@@ -94,10 +120,8 @@ def health(segments: DataFrame, key: str, n: int = 12) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_t"))), lambda x: x["_t"]), "").alias("_said"),
     )
     texts = s.where("_t <> ''").groupBy(key, "_t").agg(F.count("*").alias("_k")).groupBy(key).agg(F.max("_k").alias("max_repeat"), F.count("*").alias("_kinds"), F.sum("_k").alias("_texts"))
-    long = F.length("_said") > n
-    grams = per.where(long).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length("_said") - n), lambda i: F.substring(F.col("_said"), i, F.lit(n)))).alias("_g"))
-    top = grams.groupBy(key, "_g").agg(F.count("*").alias("_k")).groupBy(key).agg(F.max("_k").alias("top_gram"))
-    out = per.join(texts, key, "left").join(top, key, "left")
+    per = per.withColumn("top_gram", top_gram(F.col("_said"), n))
+    out = per.join(texts, key, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     dup = F.coalesce(F.round(1 - F.col("_kinds") / F.col("_texts"), 3), F.lit(0.0))
     return out.select(key, "markers", "speakers", "median_ms", zero("max_repeat"), dup.alias("dup_ratio"), zero("top_gram"), F.length("_said").alias("chars"), "monotone")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,23 +146,67 @@ def marked_segments(text: Column) -> Column:
     return F.floor(F.regexp_count(text, F.lit(r"\[\d+(?:\.\d+)?\]")) / 2).cast("long")
 
 
+#: Pairs of characters whose runs are held at once; longer texts are compared without such a table.
+MOST_CELLS = 1 << 24
+
+
+def matched(x: str, y: str, common_out: bool = False) -> int:
+    """Characters in the matching blocks of two texts, as ``difflib.SequenceMatcher`` finds them.
+
+    The longest block (of equal ones the first in ``x``, then in ``y``), then those before and
+    after it.  With ``common_out`` a character that makes up over a hundredth of a ``y`` of 200
+    or more begins no block but may lengthen one.  The lengths of all equal runs are worked out
+    once, and a part of the texts reads them up to its own edges.
+    """
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in (x, y))
+    n, m = len(a), len(b)
+    if not n or not m:
+        return 0
+    if n * m > MOST_CELLS or max(n, m) >= 1 << 15:
+        return sum(k.size for k in SequenceMatcher(None, x, y, autojunk=common_out).get_matching_blocks())
+    begins = np.ones(m, bool)
+    if common_out and m >= 200:
+        _, kind, counts = np.unique(b, return_inverse=True, return_counts=True)
+        begins = (counts <= m // 100 + 1)[kind]
+    runs = (a[:, None] == b[None, :]) & begins
+    runs = runs.astype(np.int16)
+    for k in range(1, n):
+        np.multiply(runs[k, 1:], runs[k - 1, :-1] + 1, out=runs[k, 1:])
+    edge = np.minimum(np.arange(1, n + 1, dtype=np.int16)[:, None], np.arange(1, m + 1, dtype=np.int16)[None, :])
+    total, todo = 0, [(0, n, 0, m)]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        own = np.minimum(runs[i0:i1, j0:j1], edge[: i1 - i0, : j1 - j0])
+        at = int(own.argmax())
+        row, col = divmod(at, j1 - j0)
+        size = int(own[row, col])
+        i, j = (i0 + row - size + 1, j0 + col - size + 1) if size else (i0, j0)
+        if common_out:
+            while i > i0 and j > j0 and x[i - 1] == y[j - 1]:
+                i, j, size = i - 1, j - 1, size + 1
+            while i + size < i1 and j + size < j1 and x[i + size] == y[j + size]:
+                size += 1
+        if size:
+            total += size
+            if i0 < i and j0 < j:
+                todo.append((i0, i, j0, j))
+            if i + size < i1 and j + size < j1:
+                todo.append((i + size, i1, j + size, j1))
+    return total
+
+
 def agreement(a: Column, b: Column, of_longer: bool = True) -> Column:
     """Characters in matching blocks of two texts: per cent of the longer one, or, with
     ``of_longer`` off, twice over both lengths.  Null counts as empty."""
 
-    @F.pandas_udf("double")
-    def batch(a, b):
-        from difflib import SequenceMatcher
-
-        import pandas as pd
-
+    @F.arrow_udf("double")
+    def batch(a: pa.Array, b: pa.Array) -> pa.Array:
         def one(x: str, y: str) -> float:
             if not of_longer:
-                return SequenceMatcher(None, x, y).ratio()
-            held = sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
-            return 100.0 * held / max(len(x), len(y), 1)
+                return 2.0 * matched(x, y, True) / (len(x) + len(y)) if x or y else 1.0
+            return 100.0 * matched(x, y) / max(len(x), len(y), 1)
 
-        return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+        return pa.array([one(x.as_py() or "", y.as_py() or "") for x, y in zip(a, b, strict=True)], pa.float64())
 
     return batch(a, b)
 

@@ -91,9 +91,9 @@ def heard_from(tokens: DataFrame, segments: DataFrame, key: str, window_ms: int,
     rows = segments.select(key, "at", F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("token"), F.col("start").alias("_s")).unionByName(
         tokens.select(key, "at", F.lit(1).alias("_kind"), F.col("token").cast("long").alias("token"), F.lit(None).cast("long").alias("_s"))
     )
-    upto = Window.partitionBy(key).orderBy("at", "_kind", "token").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy("at", "_kind", "token").rowsBetween(0, Window.unboundedFollowing)
-    start = F.coalesce(F.last("_s", True).over(upto), F.first("_s", True).over(ahead))
+    upto = Window.partitionBy(key).orderBy("at", "_kind", "token", "_s").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.min(F.when(F.col("_kind") == 0, F.struct("at", "_s"))).over(Window.partitionBy(key))
+    start = F.coalesce(F.last("_s", True).over(upto), first["_s"])
     out = rows.withColumn("start", start).where("_kind = 1")
     return out.select(key, "token", "start", F.greatest(F.ceil((F.col("start") - window_ms) / step_ms), F.lit(0)).alias("first_frame"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.operators import fusion, scoring, training_rows
@@ -69,11 +69,10 @@ def window_samples(spark, d):
 def token_horizons(spark, d):
     """Runs of three letters as tokens of a conversation; how far back each may hear."""
     s = segments(spark, d)
-    g = s.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "start", F.length("text").alias("n")))).alias("x"))
-    upto = lambda i: F.aggregate(F.slice("x", 1, i), F.lit(0), lambda a, x: a + x["n"])
-    segs = g.select("conv_id", F.posexplode("x").alias("i", "x1"), "x").select("conv_id", upto(F.col("i")).cast("long").alias("at"), F.col("x1.start").alias("start"))
-    total = F.aggregate("x", F.lit(0), lambda a, x: a + x["n"])
-    tok = g.where(total > 0).select("conv_id", F.explode(F.sequence(F.lit(0), F.floor((total - 1) / LETTERS).cast("int"))).alias("token")).withColumn("at", (F.col("token") * LETTERS).cast("long"))
+    before = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    segs = s.select("conv_id", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).alias("at"), "start")
+    total = s.groupBy("conv_id").agg(F.sum(F.length("text")).alias("n")).where("n > 0")
+    tok = total.select("conv_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / LETTERS).cast("int"))).alias("token")).withColumn("at", F.col("token").cast("long") * LETTERS)
     h = training_rows.heard_from(tok, segs, "conv_id", HEARD_MS, STEP_MS)
     return h.groupBy("conv_id").agg(F.count("*").alias("tokens"), F.sum("first_frame").alias("hidden"), F.max("first_frame").alias("last_frame"), F.sum(F.col("first_frame") * F.col("token")).alias("mark"))
 

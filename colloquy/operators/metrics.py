@@ -10,6 +10,7 @@ matrix of a recording is solved in Python.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,18 +54,31 @@ def _streams(segments: DataFrame, key: str) -> DataFrame:
     return segments.groupBy(key, "speaker").agg(text.alias("text"))
 
 
+def _matrix(pairs: list[dict]) -> tuple[np.ndarray, list, list]:
+    """Sums of ``v`` by ``a`` and ``b``, and what the rows and columns are, in order."""
+    known = [p for p in pairs if p["a"] is not None and p["b"] is not None]
+    a, b = (sorted({p[c] for p in known}) for c in "ab")
+    row, col = ({x: k for k, x in enumerate(side)} for side in (a, b))
+    m = np.zeros((len(a), len(b)))
+    for p in known:
+        m[row[p["a"]], col[p["b"]]] += p["v"] or 0
+    return m, a, b
+
+
+def _by_key(pairs: DataFrame, key: str, value: str, found) -> DataFrame:
+    """``(key, _x)``: what ``found`` makes of each key's pairs, many keys a batch."""
+    return pairs.groupBy(key).agg(F.collect_list(F.struct("a", "b", F.col(value).alias("v"))).alias("_p")).select(key, found(F.col("_p")).alias("_x"))
+
+
 def best_total(pairs: DataFrame, key: str, value: str, largest: bool, name: str) -> DataFrame:
     """The best total of a one-to-one map between ``a`` and ``b`` of each key."""
 
-    def run(pdf):
-        import pandas as pd
+    @F.arrow_udf("double")
+    def found(pairs: pa.Array) -> pa.Array:
+        every = (_matrix(p.as_py())[0] for p in pairs)
+        return pa.array([float(sum(m[r, c] for r, c in assign(-m if largest else m))) for m in every], pa.float64())
 
-        m = pdf.pivot_table(index="a", columns="b", values=value, aggfunc="sum", fill_value=0).to_numpy(float)
-        total = sum(m[r, c] for r, c in assign(-m if largest else m))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], name: [float(total)]})
-
-    kind = dict(pairs.dtypes)[key]
-    return pairs.select(key, "a", "b", value).groupBy(key).applyInPandas(run, f"{key} {kind}, {name} double")
+    return _by_key(pairs, key, value, found).withColumnRenamed("_x", name)
 
 
 def cpwer(ref: DataFrame, hyp: DataFrame, key: str) -> DataFrame:
@@ -170,14 +184,15 @@ def speaker_map(ref: DataFrame, hyp: DataFrame, key: str) -> DataFrame:
     o = overlaps(ref.select(*cols, F.col("speaker").alias("a_id")), hyp.select(*cols, F.col("speaker").alias("b_id")), [key], 60_000)
     pairs = o.groupBy(key, F.col("a_id").alias("a"), F.col("b_id").alias("b")).agg(F.sum("overlap").alias("n"))
 
-    def run(pdf):
-        import pandas as pd
-
-        m = pdf.pivot_table(index="a", columns="b", values="n", aggfunc="sum", fill_value=0)
-        rows = [(pdf[key].iloc[0], m.columns[c], m.index[r]) for r, c in assign(-m.to_numpy(float)) if m.iat[r, c] > 0]
-        return pd.DataFrame(rows, columns=[key, "speaker", "mapped"])
+    @F.arrow_udf("array<struct<speaker: string, mapped: string>>")
+    def found(pairs: pa.Array) -> pa.Array:
+        out = []
+        for p in pairs:
+            m, a, b = _matrix(p.as_py())
+            out.append([{"speaker": b[c], "mapped": a[r]} for r, c in assign(-m) if m[r, c] > 0])
+        return pa.array(out, pa.list_(pa.struct([("speaker", pa.string()), ("mapped", pa.string())])))
 
-    return pairs.groupBy(key).applyInPandas(run, f"{key} {dict(ref.dtypes)[key]}, speaker string, mapped string")
+    return _by_key(pairs, key, "n", found).select(key, F.explode("_x").alias("_x")).select(key, "_x.*")
 
 
 def timestamp_error(ref: DataFrame, hyp: DataFrame, key: str, least: float = 0.5) -> DataFrame:
@@ -205,19 +220,21 @@ def timestamp_error(ref: DataFrame, hyp: DataFrame, key: str, least: float = 0.5
     near = both.withColumn("score", score).where(F.col("score") > least)
     near = near.join(a.select(key, "pos_a", "s_a", "e_a"), [key, "pos_a"]).join(b.select(key, "pos_b", "s_b", "e_b"), [key, "pos_b"])
 
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.assign(gap=(pdf["s_a"] - pdf["s_b"]).abs()).sort_values(["score", "gap", "pos_a", "pos_b"], ascending=[False, True, True, True])
-        rows, cols, gaps = set(), set(), []
-        for x in pdf.itertuples():
-            if x.pos_a not in rows and x.pos_b not in cols:
-                rows.add(x.pos_a)
-                cols.add(x.pos_b)
-                gaps += [abs(x.s_a - x.s_b), abs(x.e_a - x.e_b)]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "matched": [len(rows)], "mae_ms": [float(np.mean(gaps))]})
-
-    got = near.groupBy(key).applyInPandas(run, f"{key} {dict(ref.dtypes)[key]}, matched long, mae_ms double")
+    @F.arrow_udf("struct<matched: long, mae_ms: double>")
+    def chosen(candidates: pa.Array) -> pa.Array:
+        out = []
+        for c in candidates:
+            rows, cols, gaps = set(), set(), []
+            for x in sorted(c.as_py(), key=lambda x: (-x["score"], abs(x["s_a"] - x["s_b"]), x["pos_a"], x["pos_b"])):
+                if x["pos_a"] not in rows and x["pos_b"] not in cols:
+                    rows.add(x["pos_a"])
+                    cols.add(x["pos_b"])
+                    gaps += [abs(x["s_a"] - x["s_b"]), abs(x["e_a"] - x["e_b"])]
+            out.append({"matched": len(rows), "mae_ms": float(np.mean(gaps))})
+        return pa.array(out, pa.struct([("matched", pa.int64()), ("mae_ms", pa.float64())]))
+
+    held = near.groupBy(key).agg(F.collect_list(F.struct("score", "pos_a", "pos_b", "s_a", "s_b", "e_a", "e_b")).alias("_c"))
+    got = held.select(key, chosen(F.col("_c")).alias("_x")).select(key, "_x.*")
     n = ref.groupBy(key).agg(F.count("*").alias("n")).join(got, key, "left").na.fill(0)
     return n.select(key, "matched", (F.col("n") - F.col("matched")).alias("unmatched"), "mae_ms")
 

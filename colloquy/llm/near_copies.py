@@ -261,7 +261,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [similar(shingles(x), shingles(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            ok = [similar(shingles(x.as_py()), shingles(y.as_py())) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
 
     left = texts.select(F.col("id").alias("a"), F.col("t").alias("x"))
@@ -278,11 +278,14 @@ def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            fps = [_signed(fingerprint(t, CODE_WORDS)) for t in texts]
-            own = [shingles(t) for t in texts]
-            sets = [xxhash.xxh3_128_digest(x.tobytes()) for x in own]
-            parts = np.array([[len(x), *sketch(x)] for x in own], np.int64).reshape(-1, len(extra)).T
+            fps, sets, parts = [], [], []
+            for x in b.column(1):  # a text's shingles at a time
+                text = x.as_py()
+                own = shingles(text)
+                fps.append(_signed(fingerprint(text, CODE_WORDS)))
+                sets.append(xxhash.xxh3_128_digest(own.tobytes()))
+                parts.append([len(own), *sketch(own)])
+            parts = np.array(parts, np.int64).reshape(-1, len(extra)).T
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(sets, pa.binary()), *map(pa.array, parts)], ["id", "fp", "set", *extra])
 
     extra = ["n", *(f"s{k}" for k in range(SKETCH_BITS // 64))]

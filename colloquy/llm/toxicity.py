@@ -252,9 +252,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score_column(model: Model, text: Column) -> Column:
     """The noisy-or score of each text, 0 to 1; null and empty texts: 0."""
 
-    @F.pandas_udf("double")
-    def score(texts):
-        return texts.map(model.score, na_action=None).astype("float64")
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(t.as_py()) for t in texts], pa.float64())
 
     return score(text)
 

@@ -3,12 +3,16 @@
 Codes within the radius agree on all but ``RADIUS`` of the bands, so any two meet under some
 key, and the BK-tree of a key's shard, which goes to its own task, finds them.  A first pass finds links that span the candidates, under a few choices of bands and then,
 between the clusters found so far, under all; it verifies one link a document, which contracts
-dense clusters.  A second pass finds every pair that is still apart and verifies it.
+dense clusters.  In rounds each code that may be apart from a near copy then asks for the one
+of another cluster whose sketch is nearest, one verified link a code, so that a dense group is
+joined without its pairs.  A last pass finds every pair that is still apart and verifies it.
+A pair is told under the first choice of bands under which it meets, once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -40,6 +44,10 @@ SKETCH_BITS = 512
 LEAF = 128
 #: Distances taken at once.
 BLOCK = 1 << 19
+#: Pairs that a task tells at once.
+TOLD = 1 << 17
+#: Rounds of asking end when fewer than one in so many asked links is verified.
+ROUND_GAIN = 4
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -63,6 +71,28 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+_CUTS = [BITS * k // BANDS for k in range(BANDS + 1)]
+
+
+@cache
+def _first_choices(choices: tuple[tuple[int, ...], ...]) -> np.ndarray:
+    """By the bits of the bands that agree, the number of the first choice that is among them."""
+    masks = np.arange(1 << BANDS)
+    out = np.full(1 << BANDS, len(choices), np.int16)
+    for number in range(len(choices) - 1, -1, -1):
+        bits = sum(1 << k for k in choices[number])
+        out[masks & bits == bits] = number
+    return out
+
+
+def first_met(x: np.ndarray, y: np.ndarray, number: int, choices: tuple[tuple[int, ...], ...]) -> np.ndarray:
+    """Which pairs of codes meet under this choice of bands and under none before it."""
+    apart, agree = x ^ y, np.zeros(len(x), np.int64)
+    for k, (a, b) in enumerate(zip(_CUTS, _CUTS[1:], strict=False)):
+        agree |= ((apart >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) == 0).astype(np.int64) << k
+    return _first_choices(choices)[agree] == number
+
+
 def may_be_similar(n: np.ndarray, sketches: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which pairs can reach 0.8: a bucket odd in one set only holds a shingle of one set only, and
     with 0.8 no more than a ninth of both sets' shingles are in one set only."""
@@ -113,12 +143,12 @@ def _sides(codes, sides) -> list[tuple[tuple, np.ndarray]]:
     return [(bk_tree(codes, every[sides == s]), every[sides == 3 - s]) for s in (1, 2)]
 
 
-def _hits(ids, codes, comps, sides, most: int | None, n=None, sketches=None):
-    """Positions of all pairs within the radius whose components differ; None if over ``most``.
+def _pairs(ids, codes, comps, sides, met=None, n=None, sketches=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs within the radius whose components differ, a block at a time.
 
-    With sketches, pairs that can't be similar are left out.
+    With ``met``, a choice's number and all choices, pairs that an earlier one tells are left
+    out; with sketches, those that can't be similar.
     """
-    left, right, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     tree, asked = _sides(codes, sides)[0]
     for q, r in _meetings(tree, codes, asked):
         x, y = np.nonzero(np.bitwise_count(codes[q][:, None] ^ codes[r][None, :]) <= RADIUS)
@@ -127,27 +157,58 @@ def _hits(ids, codes, comps, sides, most: int | None, n=None, sketches=None):
         if not sides.any():
             ok &= x < y
         x, y = x[ok], y[ok]
+        if met:
+            ok = first_met(codes[x], codes[y], *met)
+            x, y = x[ok], y[ok]
         if sketches is not None:
             ok = may_be_similar(n, sketches, x, y)
             x, y = x[ok], y[ok]
-        left.append(x)
-        right.append(y)
-        found += len(x)
-        if most is not None and found > most:
-            return None
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _spanning(ids, codes, comps, sides):
+        if len(x):
+            yield x, y
+
+
+def _nearest(ids, codes, comps, sides, met, n, sketches):
+    """For each code one that may be similar and is of another component, the nearest by sketch
+    of the first block that has any: positions of both, and how far apart for their sizes."""
+    other, far, bits = np.full(len(codes), -1, np.int64), np.zeros(len(codes), np.int64), sketches.view(np.uint64)
+    for tree, asked in _sides(codes, sides):
+        for q, r in _meetings(tree, codes, asked):
+            q = q[other[q] < 0]
+            x, y = np.nonzero(np.bitwise_count(codes[q][:, None] ^ codes[r][None, :]) <= RADIUS)
+            x, y = q[x], r[y]
+            ok = (comps[x] != comps[y]) & (ids[x] != ids[y])
+            x, y = x[ok], y[ok]
+            ok = first_met(codes[x], codes[y], *met)
+            x, y = x[ok], y[ok]
+            for k in range(0, len(x), 1 << 16):
+                a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                apart, both = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64), n[a] + n[b]
+                ok = np.flatnonzero(9 * apart <= both)
+                a, b, apart = a[ok], b[ok], 1000 * apart[ok] // np.maximum(both[ok], 1)
+                order = np.lexsort((apart, a))
+                a, b, apart = a[order], b[order], apart[order]
+                best = np.append(True, a[1:] != a[:-1])[: len(a)]
+                a, b, apart = a[best], b[best], apart[best]
+                better = (other[a] < 0) | (apart < far[a])
+                other[a[better]], far[a[better]] = b[better], apart[better]
+    asking = np.flatnonzero(other >= 0)
+    return asking, other[asking], far[asking]
+
+
+def _spanning(ids, codes, comps, sides, met=None):
     """Pairs within the radius that join whatever all such pairs join: all of them if they are no
     more than the codes, else a forest, fewer than the codes.
 
     The forest grows in rounds: each code asks for one within the radius that is in another
     tree of the forest, so the trees with such a neighbour at least halve.
     """
-    got = _hits(ids, codes, comps, sides, len(codes))
-    if got is not None:
-        return got
+    told = [(np.zeros(0, np.int64),) * 2]
+    for x, y in _pairs(ids, codes, comps, sides, met):
+        told.append((x, y))
+        if sum(len(x) for x, _ in told) > len(codes):
+            break
+    else:
+        return tuple(map(np.concatenate, zip(*told, strict=True)))
     trees, up = _sides(codes, sides), list(range(len(codes)))
 
     def find(k: int) -> int:
@@ -185,7 +246,6 @@ def _spanning(ids, codes, comps, sides):
 
 def _keyed(codes: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:
     """``codes(id, fp, comp)`` once under each choice of bands, ``g`` naming choice and bands."""
-    cuts = [BITS * k // BANDS for k in range(BANDS + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,8 +253,8 @@ def _keyed(codes: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:
             for number, choice in enumerate(choices):
                 key = np.zeros(len(fp), np.uint64)
                 for k in choice:
-                    width = np.uint64(cuts[k + 1] - cuts[k])
-                    key = (key << width) | ((fp >> np.uint64(cuts[k])) & ((np.uint64(1) << width) - np.uint64(1)))
+                    width = np.uint64(_CUTS[k + 1] - _CUTS[k])
+                    key = (key << width) | ((fp >> np.uint64(_CUTS[k])) & ((np.uint64(1) << width) - np.uint64(1)))
                 g = key.astype(np.int64) + (number << 40)
                 yield pa.RecordBatch.from_arrays([pa.array(g), *b.columns], ["g", "id", "fp", "comp", *more])
 
@@ -202,12 +262,8 @@ def _keyed(codes: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:
     return codes.select("id", "fp", "comp", *more).mapInArrow(run, ", ".join(f"{c} long" for c in ("g", "id", "fp", "comp", *more)))
 
 
-def near_pairs(
-    codes: DataFrame, spanning: bool, shard_rows: int = SHARD_ROWS, choices: list[tuple[int, ...]] = CHOICES
-) -> DataFrame:
-    """``codes(id, fp, comp[, n, s0, s1 ..])`` -> ``(a, b)``, a > b, once each: pairs of different
-    ``comp`` within the radius, all of them or as many as join, with ``comp``, what all join.
-    With sketches, all but those that can't be similar; with fewer ``choices``, those that meet."""
+def _shards(codes: DataFrame, shard_rows: int, choices: list[tuple[int, ...]]) -> DataFrame:
+    """Codes by shard, or by pair of parts of a large one, each in one task and together."""
     more = [c for c in codes.columns if c not in ("id", "fp", "comp")]
     keyed = _keyed(codes, choices)
     big = keyed.groupBy("g").count().where(F.col("count") > shard_rows)
@@ -221,39 +277,85 @@ def near_pairs(
     placed = placed.select("g", i.alias("i"), j.alias("j"), side.cast("long").alias("side"), "id", "fp", "comp", *more)
     spark = codes.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), codes.count() // 20_000)
+    return placed.repartition(tasks, "g", "i", "j").sortWithinPartitions("g", "i", "j")
+
+
+def _each_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The columns of one shard of two rows or more after the other."""
+    held = None
+    for b in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
+        held = rows if held is None else np.concatenate([held, rows], axis=1)
+        ends, at = np.flatnonzero((np.diff(held[:3], axis=1) != 0).any(axis=0)) + 1, 0
+        for end in ends.tolist():
+            if end - at > 1:
+                yield held[:, at:end]
+            at = end
+        held = held[:, at:].copy()
+    if held is not None and held.shape[1] > 1:
+        yield held
+
+
+def _told(found: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Columns of longs as batches of about ``TOLD`` rows."""
+    held, n = [], 0
+
+    def batch():
+        columns = zip(*held, strict=True) if held else [[np.zeros(0, np.int64)]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], names)
+
+    for columns in found:
+        held.append(columns)
+        n += len(columns[0])
+        if n >= TOLD:
+            yield batch()
+            held, n = [], 0
+    yield batch()
+
+
+def near_pairs(
+    codes: DataFrame, spanning: bool, shard_rows: int = SHARD_ROWS, choices: list[tuple[int, ...]] = CHOICES
+) -> DataFrame:
+    """``codes(id, fp, comp[, n, s0, s1 ..])`` -> ``(a, b)``, a > b, once each: pairs of different
+    ``comp`` within the radius, all of them or as many as join, with ``comp``, what all join.
+    With sketches, all but those that can't be similar; with fewer ``choices``, those that meet."""
+    sketched, every = len(codes.columns) > 3, tuple(choices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        def found():
+            for rows in _each_shard(batches):
+                ids, fps, comps, sides, met = rows[4], rows[5].view(np.uint64), rows[6], rows[3], (int(rows[0, 0] >> 40), every)
+                if spanning:
+                    blocks = [_spanning(ids, fps, comps, sides, met)]
+                else:
+                    sketches = np.ascontiguousarray(rows[8:].T) if sketched else None
+                    blocks = _pairs(ids, fps, comps, sides, met, rows[7] if sketched else None, sketches)
+                for x, y in blocks:
+                    yield np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])
 
-        def pairs(rows):
-            ids, codes, comps, sides = rows[4], rows[5].view(np.uint64), rows[6], rows[3]
-            if spanning:
-                x, y = _spanning(ids, codes, comps, sides)
-            else:
-                sketches = np.ascontiguousarray(rows[8:].T) if more else None
-                x, y = _hits(ids, codes, comps, sides, None, rows[7] if more else None, sketches)
-            return np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])
+        yield from _told(found(), ["a", "b"])
 
-        def batch(found):
-            a, b = (np.concatenate([f[k] for f in found]) if found else np.array([], np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    return _shards(codes, shard_rows, choices).mapInArrow(run, "a long, b long").distinct()
 
-        for b in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
-            held = rows if held is None else np.concatenate([held, rows], axis=1)
-            ends = np.flatnonzero((np.diff(held[:3], axis=1) != 0).any(axis=0)) + 1
-            found, at = [], 0
-            for end in ends.tolist():
-                if end - at > 1:
-                    found.append(pairs(held[:, at:end]))
-                at = end
-            held = held[:, at:].copy()
-            yield batch(found)
-        if held is not None and held.shape[1] > 1:
-            yield batch([pairs(held)])
-
-    dealt = placed.repartition(tasks, "g", "i", "j").sortWithinPartitions("g", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+def asked_pairs(codes: DataFrame, shard_rows: int = SHARD_ROWS, choices: list[tuple[int, ...]] = CHOICES) -> DataFrame:
+    """``codes(id, fp, comp, n, s0, s1 ..)`` -> ``(a, b)``, a > b, once each: for every code that
+    may have a similar one of another ``comp`` within the radius, the nearest by sketch of those
+    that its shards name.  No more pairs than codes."""
+    every = tuple(choices)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for rows in _each_shard(batches):
+                met, sketches = (int(rows[0, 0] >> 40), every), np.ascontiguousarray(rows[8:].T)
+                x, y, far = _nearest(rows[4], rows[5].view(np.uint64), rows[6], rows[3], met, rows[7], sketches)
+                yield rows[4][x], rows[4][y], far
+
+        yield from _told(found(), ["x", "y", "far"])
+
+    asked = _shards(codes, shard_rows, choices).mapInArrow(run, "x long, y long, far long")
+    one = asked.groupBy("x").agg(F.min(F.struct("far", "y")).alias("to")).select("x", F.col("to.y").alias("y"))
+    return one.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -269,6 +371,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _joined(rest: DataFrame, links: DataFrame) -> DataFrame:
+    """``rest`` with ``comp`` joined by these links, without those of groups that are now one."""
+    comp = lambda end: rest.select(F.col("id").alias(end), F.col("comp").alias(f"_{end}"))
+    between = links.join(comp("a"), "a").join(comp("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    met = connected_components(between).withColumnRenamed("node", "comp")
+    new = rest.join(met, "comp", "left").withColumn("comp", F.coalesce("component", "comp")).select(*rest.columns)
+    apart = new.groupBy("wide").agg((F.min("comp") < F.max("comp")).alias("apart")).where("apart")
+    return new.join(apart, "wide", "left_semi")
+
+
 def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id)``: the smallest id of each component of near copies; null ids are not looked at.
 
@@ -307,12 +419,22 @@ def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     both = spans.join(ids_to(roots, "a"), "a", "left").join(ids_to(roots, "b"), "b", "left")
     apart = both.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select(F.col("a").alias("node"))
     wide = connected_components(spans)
-    active = apart.join(wide, "node").select("component").distinct().join(wide, "component").select(F.col("node").alias("id"))
+    active = apart.join(wide, "node").select("component").distinct().join(wide, "component").select(F.col("node").alias("id"), F.col("component").alias("wide"))
     rest = stage(
         classes.drop("set").join(active, "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
-        .select("id", "fp", F.coalesce("component", "id").alias("comp"), *extra),
+        .select("wide", "id", "fp", F.coalesce("component", "id").alias("comp"), *extra),
         "near-rest",
     )
-    more = stage(verified(near_pairs(rest, False), texts).distinct(), "near-more")
+    some = stage(texts.join(rest.select("id"), "id", "left_semi"), "near-texts")
+    while True:
+        asked = stage(asked_pairs(rest.drop("wide")), "near-asked")
+        new = stage(verified(asked, some).distinct(), "near-answered")
+        links = links.unionByName(new)
+        gain, cost = new.count(), asked.count()
+        if gain:
+            rest = stage(_joined(rest, new), "near-rest")
+        if ROUND_GAIN * gain < cost or not cost:
+            break
+    more = stage(verified(near_pairs(rest.drop("wide"), False), some).distinct(), "near-more")
     later = connected_components(links.unionByName(more)).where("node <> component").select(F.col("node").alias("id"))
     return classes.select("id").distinct().join(later, "id", "left_anti").select(F.col("id").alias("doc_id"))

@@ -95,3 +95,40 @@ def test_shards_are_searched_by_a_tree_that_leaves_far_codes_out():
     x, y = nc._spanning(every, fps, every, none)
     assert {*zip(x.tolist(), y.tolist(), strict=True)} <= near and components(zip(x.tolist(), y.tolist(), strict=True), 800) == components(near, 800)
     assert len(x) < 800
+
+
+def test_a_pair_is_told_under_one_choice_only():
+    import numpy as np
+
+    r = random.Random(5)
+    x = np.array([r.getrandbits(64) for _ in range(300)], np.uint64)
+    y = x ^ np.array([sum({1 << r.randrange(64) for _ in range(r.randrange(1, nc.RADIUS + 1))}) for _ in x], np.uint64)
+    for choices in (nc.CHOICES, nc.FIRST_CHOICES):
+        told = sum(nc.first_met(x, y, k, tuple(choices)).astype(int) for k in range(len(choices)))
+        assert (told == 1).all() if choices is nc.CHOICES else told.max() == 1
+
+
+def test_a_dense_group_asks_for_no_more_pairs_than_codes(spark):
+    r = random.Random(6)
+    codes = [sum({1 << r.randrange(64) for _ in range(4)}) for _ in range(120)]
+    extra = ["n", *(f"s{k}" for k in range(nc.SKETCH_BITS // 64))]
+    rows = [(k, _signed(c), k % 3, 400, *[0] * (len(extra) - 1)) for k, c in enumerate(codes)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ("id", "fp", "comp", *extra)))
+    for size in (20, 1000):
+        asked = [tuple(x) for x in nc.asked_pairs(df, size).collect()]
+        assert 60 <= len(asked) <= 120 and all(a > b and a % 3 != b % 3 for a, b in asked)
+        assert all((codes[a] ^ codes[b]).bit_count() <= nc.RADIUS for a, b in asked)
+    joined = nc._joined(df.withColumn("wide", F.lit(0)), spark.createDataFrame([(4, 0)], "a long, b long"))
+    assert {(x.comp, x.id % 3) for x in joined.collect()} == {(0, 0), (0, 1), (2, 2)}
+
+
+def test_near_copies_of_a_dense_group_are_joined_as_by_all_pairs(spark):
+    r = random.Random(7)
+    base = prose(8, 300)
+    rows = [(k, changed(base, r.sample(range(300), r.randrange(4, 16)))) for k in range(60)]
+    near = {(x, y) for x in range(60) for y in range(x) if jaccard(rows[x][1], rows[y][1]) >= 0.8}
+    assert 0 < len(near) < 60 * 59 // 2
+    codes = [nc.fingerprint(t.encode(), nc.CODE_WORDS) for _, t in rows]
+    near = {(x, y) for x, y in near if (codes[x] ^ codes[y]).bit_count() <= nc.RADIUS}
+    kept = {x.doc_id for x in nc.first_copies(frame(spark, rows)).collect()}
+    assert kept == set(components(near, 60))

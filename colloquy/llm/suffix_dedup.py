@@ -67,11 +67,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the K bytes from each place on."""
     n = len(data) - K + 1
-    word = lambda at: np.lib.stride_tricks.as_strided(
-        data[at:].view(np.uint8), shape=(n, 8), strides=(1, 1)
-    ).copy().view("<u8").ravel()
-    half = np.lib.stride_tricks.as_strided(data[16:], shape=(n, 4), strides=(1, 1)).copy().view("<u4").ravel()
-    return _mix(_mix(_mix(word(0)) + word(8) * np.uint64(0x9E3779B97F4A7C15)) + half.astype(np.uint64))
+    word = np.empty(len(data) - 7, np.uint64)  # the 8 bytes from each place on
+    for k in range(min(8, len(word))):
+        own = word[k::8]
+        own[:] = data[k : k + 8 * len(own)].view("<u8")
+    return _mix(_mix(_mix(word[:n]) + word[8 : n + 8] * np.uint64(0x9E3779B97F4A7C15)) + (word[12 : n + 12] >> np.uint64(32)))
 
 
 def runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,9 +111,18 @@ def window_hashes(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def ranks(hashes: np.ndarray) -> np.ndarray:
+    """Place of each hash among the sorted distinct ones."""
+    order = np.argsort(hashes)
+    h = hashes[order]
+    out = np.empty(len(h), np.int64)
+    out[order] = np.cumsum(np.append(False, h[1:] != h[:-1])[: len(h)])
+    return out
+
+
 def strings_by_hash(data: np.ndarray, first: np.ndarray, n: np.ndarray, h: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of the sorted distinct hashes have ``LEAST_COUNTED`` different strings or more, and how many."""
-    key = np.searchsorted(keys, h)
+    key = ranks(h)
     own = np.flatnonzero((np.bincount(key, minlength=len(keys)) >= LEAST_COUNTED)[key])
     key = key[own]
     # a run has at most WINDOW - K + 1 windows, so its first and last cover it
@@ -359,7 +368,7 @@ class Strings:
         hot = np.zeros(len(keys), bool)
         for f, x, y in zip(flags, at, at[1:], strict=False):
             hot[x + np.frombuffer(f[(y - x + 7) // 8 :], "<u4")] = True
-        key = np.searchsorted(keys, h)
+        key = ranks(h)
         kept = np.flatnonzero(hit[key])
         first, n, doc, h, hot = first[kept], n[kept], doc[kept], h[kept], hot[key[kept]]
         if hot.any():

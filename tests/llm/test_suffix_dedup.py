@@ -94,3 +94,20 @@ def test_the_query_on_the_whole_table(spark, sf_dir):
     out = sd.op2_suffix_dedup(spark, sf_dir)
     assert out.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
     assert got(out) == brute(rows)
+
+
+def test_places_sort_with_their_keys_and_grams_hash_alike_everywhere():
+    r = np.random.default_rng(4)
+    for most in (3, 1 << 20, (1 << 41) - 1, (1 << 62) - 1):
+        key = r.integers(0, most, 3000)
+        got, order = bwt._sorted(key, most)
+        assert (order == np.argsort(key, kind="stable")).all() and (got == key[order]).all()
+    inter = r.integers(0, 4, 3000).astype(np.uint8)
+    assert (bwt._places(inter, 4) == np.argsort(inter, kind="stable")).all() and len(bwt._sorted(inter[:0], 0)[0]) == 0
+    h = r.integers(0, 500, 3000).astype(np.uint64)
+    assert (sd.ranks(h) == np.searchsorted(np.unique(h), h)).all() and len(sd.ranks(h[:0])) == 0
+    data = r.integers(0, 4, 90).astype(np.uint8)
+    data[45:] = data[:45]
+    whole = sd.gram_hashes(data)
+    assert (whole[:26] == whole[45:]).all()
+    assert all((sd.gram_hashes(data[k : k + n]) == whole[k : k + n - sd.K + 1]).all() for k in (0, 3) for n in (20, 21, 28, 50))

@@ -27,6 +27,11 @@ from colloquy.llm.common import stage, table
 
 #: Longest run of items that is looked for as a repeated group.
 LONGEST_GROUP = 16
+_TWICE = [re.compile(rf"(.{{{n}}})\1", re.S) for n in range(LONGEST_GROUP + 1)]
+#: Atoms of a page up to which its items have a character each.
+MOST_LETTERS = 500_000
+#: Groups of a page up to which each is looked for, before a pass over all items is cheaper.
+MOST_RUNS = 64
 #: Parts a host's streams are dealt to, level by level, before they are merged.
 SALTS = (4096, 64, 1)
 #: Cells of an alignment table beyond which it is filled a row at once, and of how many cells of
@@ -98,13 +103,13 @@ def stream(page: str) -> tuple[list[str], list[str]]:
     atoms: list[str] = []
     texts: list[str] = []
     line: list[str] = []
-    boxes: list[tuple[str, str]] = []
+    boxes: list[tuple[str, str]] = []  # names and paths
 
     def end_line():
         said = " ".join("".join(line).split())
         line.clear()
         if said:
-            atoms.append("#" + "/".join(n for _, n in boxes))
+            atoms.append("#" + (boxes[-1][1] if boxes else ""))
             texts.append(said)
 
     for kind, name, value in tokens(page):
@@ -122,8 +127,8 @@ def stream(page: str) -> tuple[list[str], list[str]]:
             if boxes and (boxes[-1][0] == "p" or (boxes[-1][0] == name and name not in _BOX)):
                 boxes.pop()
             if name in _BOX or value:
+                label = f"{boxes[-1][1]}/{label}" if boxes else label
                 boxes.append((name, label))
-                label = "/".join(n for _, n in boxes)
             atoms.append(f"<{label}>")
         else:
             atoms.append(f"</{name}>")
@@ -142,6 +147,12 @@ def fold(atoms: list[str]) -> tuple[list, list[list[int]]]:
     Gives the items and, for each text slot in them, the places of its texts among the atoms.
     """
     items: list = list(atoms)
+    ids: dict = {}
+    number = lambda x: ids.setdefault(x, len(ids))
+    # a character for each item, so that runs are compared and looked for as strings
+    as_text = len(atoms) <= MOST_LETTERS
+    said = "".join(chr(number(x)) for x in items) if as_text else [number(x) for x in items]
+    runs: dict = {}  # of groups, by their own character
     slots: list[tuple] = [([k],) if a[0] == "#" else () for k, a in enumerate(atoms)]
 
     def joined(parts: list[tuple]) -> tuple:
@@ -150,26 +161,36 @@ def fold(atoms: list[str]) -> tuple[list, list[list[int]]]:
     def both(one: tuple, two: tuple) -> tuple:
         return tuple(x + y for x, y in zip(one, two, strict=True))
 
+    def folds(size: int) -> bool:
+        """Whether a run of this size is repeated, or follows its own group."""
+        if not as_text or len(runs) > MOST_RUNS or _TWICE[size].search(said):
+            return True
+        return any(len(run) == size and c + run in said for c, run in runs.items())
+
     changed = True
     while changed:
         changed = False
         for size in range(1, LONGEST_GROUP + 1):
+            if not folds(size):
+                continue
             out, where, k = [], [], 0
             while k < len(items):
-                run = items[k : k + size]
-                plain = not (size == 1 and isinstance(run[0], tuple)) and len(run) == size
+                run = said[k : k + size]
+                plain = not (size == 1 and isinstance(items[k], tuple)) and len(run) == size
                 reps = 1
-                while plain and items[k + reps * size : k + (reps + 1) * size] == run:
+                while plain and said[k + reps * size : k + (reps + 1) * size] == run:
                     reps += 1
                 if reps > 1:
                     held = joined(slots[k : k + size])
                     for r in range(1, reps):
                         held = both(held, joined(slots[k + r * size : k + (r + 1) * size]))
-                    out.append(("+", tuple(run)))
+                    out.append(("+", tuple(items[k : k + size])))
+                    if as_text:
+                        runs[chr(number(out[-1]))] = run
                     where.append(held)
                     k += reps * size
                     changed = True
-                elif plain and out and isinstance(out[-1], tuple) and len(out[-1][1]) == size and list(out[-1][1]) == run:
+                elif plain and out and isinstance(out[-1], tuple) and len(out[-1][1]) == size and out[-1][1] == tuple(items[k : k + size]):
                     where[-1] = both(where[-1], joined(slots[k : k + size]))
                     k += size
                     changed = True
@@ -178,6 +199,7 @@ def fold(atoms: list[str]) -> tuple[list, list[list[int]]]:
                     where.append(slots[k])
                     k += 1
             items, slots = out, where
+            said = "".join(chr(number(x)) for x in items) if as_text else [number(x) for x in items]
     return items, [list(x) for s in slots for x in s]
 
 

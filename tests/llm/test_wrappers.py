@@ -1,4 +1,5 @@
 import random
+import time
 
 from colloquy.llm import wrappers as w
 from pyspark.sql import functions as F
@@ -178,3 +179,41 @@ def test_pages_with_very_many_items_have_a_wrapper(spark):
     assert found.count() == 1
     text = w.main_text(pages).where("page_id = 3").first().text
     assert "Same words everywhere" not in text and "own 3 0" in text and "own 3 898" in text
+
+
+def folded_slowly(atoms):
+    items, changed = list(atoms), True
+    while changed:
+        changed = False
+        for size in range(1, w.LONGEST_GROUP + 1):
+            out, k = [], 0
+            while k < len(items):
+                run, reps = items[k : k + size], 1
+                plain = not (size == 1 and isinstance(run[0], tuple)) and len(run) == size
+                while plain and items[k + reps * size : k + (reps + 1) * size] == run:
+                    reps += 1
+                again = plain and out and out[-1] == ("+", tuple(run))
+                changed = bool(changed or reps > 1 or again)
+                out += [("+", tuple(run))] if reps > 1 else [] if again else [items[k]]
+                k += reps * size if reps > 1 else size if again else 1
+            items = out
+    return items
+
+
+def test_folding_agrees_with_slow_passes_and_skips_those_without_repeats(monkeypatch):
+    r = random.Random(9)
+    cases = [[r.choice(["#a", "#b/c", "<p>", "</p>"][: r.randrange(1, 5)]) for _ in range(r.randrange(60))] for _ in range(600)]
+    cases.append([x for k in range(200) for x in (f"<{k}>", "#", f"<{k}>", "#", "</x>")])
+    for letters in (w.MOST_LETTERS, 3):
+        monkeypatch.setattr(w, "MOST_LETTERS", letters)
+        for atoms in cases:
+            items, slots = w.fold(atoms)
+            assert items == folded_slowly(atoms)
+            assert sorted(k for s in slots for k in s) == [k for k, a in enumerate(atoms) if a[0] == "#"]
+    monkeypatch.undo()
+    atoms = [f"<{k}>" for k in range(20_000)]
+    began = time.process_time()
+    w.fold(atoms)
+    fast, began = time.process_time() - began, time.process_time()
+    folded_slowly(atoms)
+    assert fast < (time.process_time() - began) / 3

@@ -192,8 +192,8 @@ def folded_slowly(atoms):
                 plain = not (size == 1 and isinstance(run[0], tuple)) and len(run) == size
                 while plain and items[k + reps * size : k + (reps + 1) * size] == run:
                     reps += 1
-                again = plain and out and out[-1] == ("+", tuple(run))
-                changed = bool(changed or reps > 1 or again)
+                again = plain and out[-1:] == [("+", tuple(run))]
+                changed |= reps > 1 or again
                 out += [("+", tuple(run))] if reps > 1 else [] if again else [items[k]]
                 k += reps * size if reps > 1 else size if again else 1
             items = out

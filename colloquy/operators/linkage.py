@@ -130,10 +130,35 @@ def dendrogram(rows: DataFrame, recording: str, item: str, vector: str, method:
         heights = [None if g == float("inf") else g for g in gaps]
         return pd.DataFrame({recording: got[recording].to_numpy(), item: got[item].to_numpy(), "place": range(len(got)), "height": pd.Series(heights, dtype="float64")})
 
+    return _known(rows, recording, item, vector).groupBy(recording).applyInPandas(run, f"{recording} {kinds[recording]}, {item} {kinds[item]}, place int, height double")
+
+
+def _known(rows: DataFrame, recording: str, item: str, vector: str) -> DataFrame:
+    """Items whose vectors have a direction."""
     v = F.col(vector).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: F.abs(x) > 1e-12)
-    known = rows.select(recording, item, v.alias(vector)).where(F.coalesce(fine, F.lit(False)))
-    return known.groupBy(recording).applyInPandas(run, f"{recording} {kinds[recording]}, {item} {kinds[item]}, place int, height double")
+    return rows.select(recording, item, v.alias(vector)).where(F.coalesce(fine, F.lit(False)))
+
+
+def swept_clusters(rows: DataFrame, recording: str, item: str, vector: str, method: str, thresholds: list[float]) -> DataFrame:
+    """``(recording, item, clusters)``: one row an item with its cluster at every threshold, numbered
+    as by ``cuts`` of its ``dendrogram``."""
+    kinds = dict(rows.dtypes)
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(item, ignore_index=True)
+        order, gaps = leaf_order(len(pdf), merge_steps(np.array(pdf[vector].tolist(), float), method))
+        found = np.empty((len(pdf), len(thresholds)), np.int32)
+        for k, t in enumerate(thresholds):
+            label = np.empty(len(pdf), np.int64)
+            label[order] = np.cumsum(np.array(gaps) > t)
+            _, first, number = np.unique(label, return_index=True, return_inverse=True)
+            found[:, k] = np.argsort(np.argsort(first))[number] + 1
+        return pd.DataFrame({recording: pdf[recording], item: pdf[item], "clusters": list(found)})
+
+    return _known(rows, recording, item, vector).groupBy(recording).applyInPandas(run, f"{recording} {kinds[recording]}, {item} {kinds[item]}, clusters array<int>")
 
 
 def cuts(tree: DataFrame, recording: str, item: str, thresholds: list[float]) -> DataFrame:
@@ -165,8 +190,8 @@ def cut_into(tree: DataFrame, recording: str, item: str, wanted: DataFrame) -> D
     return numbered(ranked.withColumn("_run", F.sum(opens).over(Window.partitionBy(recording).orderBy("place"))), [recording], item)
 
 
-def swept_segments(segments: DataFrame, units: DataFrame, recording: str, order: str, unit: list[str], method: str, thresholds: list[float]) -> DataFrame:
-    """``(recording, threshold, order, speaker)``: segments under the labels of their units' clusters.
+def swept_segments(segments: DataFrame, units: DataFrame, recording: str, order: str, unit: list[str], method: str, thresholds: list[float], keep: list[str] = ()) -> DataFrame:
+    """``(recording, threshold, order, *keep, speaker)``: segments under the labels of their units' clusters.
 
     ``units`` hold ``(recording, *unit, vector)``; with ``unit`` the segment's own place every
     segment is clustered by itself, with window and speaker by its pooled vector.  Labels S01,
@@ -176,13 +201,14 @@ def swept_segments(segments: DataFrame, units: DataFrame, recording: str, order:
     named = segments.withColumn("_unit", F.struct(*unit))
     first = named.groupBy(recording, "_unit").agg(F.min(order).alias("_item"))
     placed = units.withColumn("_unit", F.struct(*unit)).join(first, [recording, "_unit"]).select(recording, "_item", "vector")
-    got = cuts(dendrogram(placed, recording, "_item", "vector", method), recording, "_item", thresholds)
-    at = F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold")
-    rows = named.join(first, [recording, "_unit"]).select(recording, order, "_item", at)
-    found = rows.join(got, [recording, "threshold", "_item"], "left")
-    before = Window.partitionBy(recording, "threshold").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    label = F.when(F.col("cluster").isNotNull(), F.format_string("S%02d", "cluster"))
-    return found.withColumn("_l", label).select(recording, "threshold", order, F.coalesce(F.last("_l", True).over(before), F.lit("S01")).alias("speaker"))
+    got = swept_clusters(placed, recording, "_item", "vector", method, thresholds)
+    found = named.join(first, [recording, "_unit"]).select(recording, order, *keep, "_item").join(got, [recording, "_item"], "left")
+    # a unit without a vector has no cluster at any threshold, so all are filled at once
+    before = Window.partitionBy(recording).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = found.withColumn("_c", F.coalesce(F.last("clusters", True).over(before), F.array_repeat(F.lit(1), len(thresholds))))
+    each = F.explode(F.arrays_zip(F.array(*(F.lit(float(t)) for t in thresholds)).alias("t"), F.col("_c").alias("c"))).alias("_e")
+    rows = filled.select(recording, order, *keep, each)
+    return rows.select(recording, F.col("_e.t").alias("threshold"), order, *keep, F.format_string("S%02d", F.col("_e.c")).alias("speaker"))
 
 
 def global_speakers(segments: DataFrame, recording: str, order: str, seconds: str, vector: str, threshold: float = 0.7, least_s: float = 0.3) -> DataFrame:

@@ -62,8 +62,8 @@ def _swept(spark, d, method: str, pooled: bool) -> DataFrame:
         own = vectors.centroids(e.withColumn("_u", F.struct("rec", *unit)), "_u", "embedding", F.greatest("seconds", F.lit(0.1))).select("_u.*", F.col("centroid").alias("vector"))
     else:
         own = e.select("rec", "vec_id", F.col("embedding").alias("vector"))
-    got = linkage.swept_segments(e, own, "rec", "vec_id", unit, method, THRESHOLDS)
-    right = got.join(e.select("rec", "vec_id", "label"), ["rec", "vec_id"]).groupBy("rec", "threshold", "speaker", "label").agg(F.count("*").alias("n"))
+    got = linkage.swept_segments(e, own, "rec", "vec_id", unit, method, THRESHOLDS, ["label"])
+    right = got.groupBy("rec", "threshold", "speaker", "label").agg(F.count("*").alias("n"))
     most = right.groupBy("rec", "threshold", "speaker").agg(F.max("n").alias("hit"), F.sum("n").alias("n"))
     return most.groupBy("threshold").agg(F.count("*").alias("speakers"), F.round(F.sum("hit") / F.sum("n"), 6).alias("purity"))
 

@@ -329,3 +329,14 @@ def test_speakers_of_the_whole_recording(spark):
     df = spark.createDataFrame(rows, "rec string, pos long, sec double, v array<double>, speaker string")
     got = sorted((r.rec, r.pos, r.speaker) for r in linkage.global_speakers(df, "rec", "pos", "sec", "v").collect())
     assert got == [("r", 1, "S01"), ("r", 2, "S02"), ("r", 3, "S01"), ("s", 0, "y"), ("s", 1, "z"), ("t", 0, "w")]
+
+
+def test_clusters_at_all_thresholds_are_the_cuts_of_the_tree(spark):
+    r = np.random.default_rng(8)
+    rows = [("ab"[k % 2], k, r.normal(size=5).tolist() if k % 7 else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "rec string, item long, v array<double>")
+    for method in ("average", "complete", "ward"):
+        cut = linkage.cuts(linkage.dendrogram(df, "rec", "item", "v", method), "rec", "item", [0.3, 0.8, 1.1])
+        at = {(x.rec, x.threshold, x.item): x.cluster for x in cut.collect()}
+        got = linkage.swept_clusters(df, "rec", "item", "v", method, [0.3, 0.8, 1.1]).collect()
+        assert {(x.rec, t, x.item): c for x in got for t, c in zip([0.3, 0.8, 1.1], x.clusters, strict=True)} == at

@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Symbols a refinement round adds.
-Q = 5
+#: Symbols a refinement round adds, and those that one number spells out.
+Q = 10
+_SPELLED = 5
 _SYMBOLS = 257
 
 
@@ -31,16 +32,20 @@ class Cycles:
         self.offset = (np.arange(self.n) - self.first).astype(np.int32)
         symbols = np.zeros(self.n, np.int64)
         symbols[self.offset < self.size - 1] = data.astype(np.int64) + 1
-        self.codes = symbols.copy()
-        for k in range(1, Q):
-            self.codes = self.codes * _SYMBOLS + symbols[self.ahead(k)]
+        self.codes, after = symbols, self.ahead(1)
+        for _ in range(1, _SPELLED):
+            symbols = symbols[after]
+            self.codes = self.codes * _SYMBOLS + symbols
 
     def ahead(self, k: int) -> np.ndarray:
         """The rotation k symbols further on in the same cycle."""
         at = self.offset + k
         if self.n and abs(k) > self.size.min():
             return self.first + at % self.size
-        return self.first + at + np.where(at < 0, self.size, np.where(at < self.size, 0, -self.size))
+        out = self.first + at
+        past = np.flatnonzero(at < 0 if k < 0 else at >= self.size)
+        out[past] += self.size[past] if k < 0 else -self.size[past]
+        return out
 
 
 def _stable(symbol: np.ndarray) -> np.ndarray:
@@ -105,6 +110,7 @@ def merge(data: np.ndarray, lengths: np.ndarray, shard_bytes: int, depth: int) -
     shards = min(max(2, -(-c.n // shard_bytes)), 250, len(lengths)) if len(lengths) else 0
     bounds = [0, *(int(np.searchsorted(cut, c.n * k // shards, "left")) + 1 for k in range(1, shards)), len(lengths)] if shards else [0]
     codes, _ = _dense(c.codes)
+    codes, _ = _dense(codes * c.n + codes[c.ahead(_SPELLED)])  # of two numbers side by side: Q symbols
     before, most = codes[c.ahead(-Q)], int(codes.max()) if c.n else 0
     tops, transforms, owner = [], [], []
     byte_end = np.append(0, cut)

@@ -3,7 +3,8 @@
 A byte is removed if a ``WINDOW``-byte string that covers it also starts in a document with a
 smaller id.  Equal windows must meet in one task, without one order over all suffixes:
 
-1. Documents are packed into blocks, a table in the shared folder.
+1. Documents are packed into blocks, a file in the shared folder for each part of the input.
+   Tasks read them a block at a time, and none passes through the JVM.
 2. Each window's minimizer (the least-hashed K-gram in it) is a function of its content.
    Blocks send their distinct minimizer hashes to buckets by hash range, which send back a
    bit each: seen in two documents or more.  Windows of other minimizers are not repeated.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.bwt import least_by_window
-from colloquy.llm.common import drop_stage, fresh_path, stage, table
+from colloquy.llm.common import fresh_path, stage, table
 from colloquy.llm.shared_files import make_folder
 from colloquy.llm.tokens import slices
 
@@ -44,9 +45,10 @@ BLOCK_BYTES = 8 << 20
 STRETCH_BYTES = 256 << 10
 SHARD_BYTES = 512 << 10
 #: Bytes of text for which there is a bucket of hashes, or of strings.
-HASH_BUCKET_TEXT, STRING_BUCKET_TEXT = 8 << 20, 1 << 20
+HASH_BUCKET_TEXT, STRING_BUCKET_TEXT = 8 << 20, 4 << 20
 #: Further hash bits that part a bucket's strings inside its task: windows never cross them.
-SUB_BITS = 3
+#: A block sends a row to each bucket, so buckets are few and parted in their task.
+SUB_BITS = 5
 #: Strings of one minimizer, over all blocks, beyond which its windows go by their own hashes.
 HOT_STRINGS = 4096
 #: Different strings of a minimizer in a block that are reported; fewer count as one.
@@ -146,7 +148,7 @@ def distinct_hashes(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np
 
 
 class Block:
-    """One row of the block table: documents with ids, their bytes end to end."""
+    """One block of a part's file: documents with ids, their bytes end to end."""
 
     def __init__(self, b: pa.RecordBatch, k: int):
         self.block = b.column("block")[k].as_py()
@@ -174,39 +176,62 @@ class Block:
         return first, n, doc, h
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+def _blocks(batches: Iterator[pa.RecordBatch], rest: bool = False) -> Iterator[Block]:
+    """The blocks of the parts in these rows, one read after the other; with the carried columns
+    only where they are asked for."""
+    fields = ["block", "doc_ids", "sizes", "data", *(["rest"] if rest else [])]
     for b in batches:
-        for k in range(b.num_rows):
-            yield Block(b, k)
+        for uri in b.column("path").to_pylist():
+            where, path = fs.FileSystem.from_uri(uri)
+            if where.get_file_info(path).type != fs.FileType.File:
+                continue  # a part without documents
+            with where.open_input_file(path) as f:
+                names = pa.ipc.open_file(f).schema.names
+                own = pa.ipc.open_file(f, options=pa.ipc.IpcReadOptions(included_fields=[names.index(n) for n in fields], use_threads=False))
+                for k in range(own.num_record_batches):
+                    yield Block(own.get_batch(k), 0)
+            pa.default_memory_pool().release_unused()  # what a worker keeps is kept beside the other's and the JVM's
 
 
 def pack_blocks(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """The block table; ``rest`` has the carried columns of each document."""
+    """A row for each part, ``(part, path, bytes)``, whose file of blocks it writes; ``rest`` there has
+    the carried columns of each document."""
+    folder = fresh_path(docs.sparkSession, "dedup-blocks")
+    make_folder(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        block = part << 32
+        where, path = fs.FileSystem.from_uri(folder)
+        mine, writer, block, size = f"{path}/.{part}-{uuid.uuid4().hex}", None, part << 32, 0
         for b in batches:
             for lo, hi in slices(b.column(1), BLOCK_BYTES):
                 raw = pc.fill_null(b.column(1).slice(lo, hi - lo), b"")
                 sizes = pc.binary_length(raw).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays(
+                own = pa.RecordBatch.from_arrays(
                     [
-                        pa.array([part], pa.int64()),
                         pa.array([block]),
                         pa.ListArray.from_arrays([0, hi - lo], b.column(0).slice(lo, hi - lo)),
                         pa.ListArray.from_arrays([0, hi - lo], sizes),
                         pa.array([b"".join(raw.to_pylist())], pa.binary()),
                         pa.ListArray.from_arrays([0, hi - lo], b.column(2).slice(lo, hi - lo)),
                     ],
-                    ["part", "block", "doc_ids", "sizes", "data", "rest"],
+                    ["block", "doc_ids", "sizes", "data", "rest"],
                 )
-                block += 1
+                if writer is None:
+                    sink = where.open_output_stream(mine)
+                    writer = pa.ipc.new_file(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False))
+                writer.write_batch(own)
+                block, size = block + 1, size + len(own["data"][0].as_buffer())
+        if writer is not None:
+            # every attempt writes the same documents; the rename leaves one whole file
+            writer.close()
+            sink.close()
+            where.move(mine, f"{path}/{part}.arrow")
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([f"{folder}/{part}.arrow"]), pa.array([size], pa.int64())], ["part", "path", "bytes"])
 
     rest = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"), rest.alias("rest"))
-    kind = rows.schema["rest"].dataType.simpleString()
-    return rows.mapInArrow(run, f"part long, block long, doc_ids array<long>, sizes array<long>, data binary, rest array<{kind}>")
+    return rows.mapInArrow(run, "part long, path string, bytes long")
 
 
 def _by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,12 +250,14 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list
     """Consecutive rows with one value in the first column."""
     at, held = None, []
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[0] != at and held:
+        first = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(first)) + 1).tolist(), len(first)] if len(first) else [0]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if first[x] != at and held:
                 yield at, held
                 held = []
-            at = row[0]
-            held.append(row)
+            at = int(first[x])
+            held += zip(*(c.slice(x, y - x).to_pylist() for c in b.columns), strict=True)
     if held:
         yield at, held
 
@@ -250,7 +277,7 @@ def hash_rows(blocks: DataFrame, bits: int) -> DataFrame:
                 ["bucket", "block", "payload", "many"],
             )
 
-    return blocks.select("part", "block", "doc_ids", "sizes", "data").mapInArrow(run, "bucket long, block long, payload binary, many binary")
+    return blocks.select("path").mapInArrow(run, "bucket long, block long, payload binary, many binary")
 
 
 def repeated_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +419,7 @@ class Strings:
         np.minimum.at(self.least, self.code, b.ids[self.doc])
         # equal strings have equal minimizers, so first-seen order is still by hash
         self.buckets, self.at = _by_bucket(h[one], bits)
-        self.sub = ((h[one] >> np.uint64(64 - bits - SUB_BITS)) & np.uint64((1 << SUB_BITS) - 1)).astype(np.int64)
+        self.sub = ((h[one] >> np.uint64(64 - bits - SUB_BITS)) & np.uint64((1 << SUB_BITS) - 1)).astype(np.uint8)
 
     def rows(self, block: int) -> list[tuple]:
         ends = np.append(0, np.cumsum(self.lengths))
@@ -404,7 +431,7 @@ class Strings:
                 self.lengths[x:y].astype("<u2").tobytes(),
                 bytes(data[ends[x] : ends[y]]),
                 self.least[x:y].astype("<i8").tobytes(),
-                np.bincount(self.sub[x:y], minlength=1 << SUB_BITS).astype("<u4").tobytes(),
+                self.sub[x:y].tobytes(),
             )
             for k, x, y in zip(self.buckets, self.at, self.at[1:], strict=False)
         ]
@@ -417,7 +444,7 @@ def string_rows(blocks: DataFrame, folder: str, hash_bits: int, bits: int) -> Da
             rows = Strings(b, answers_of(folder, b.block, held), hash_bits, bits).rows(b.block)
             yield _rows(rows, ["bucket", "block", "lengths", "payload", "least", "subs"])
 
-    return blocks.drop("rest").mapInArrow(run, "bucket long, block long, lengths binary, payload binary, least binary, subs binary")
+    return blocks.select("path").mapInArrow(run, "bucket long, block long, lengths binary, payload binary, least binary, subs binary")
 
 
 def _shorter(values: np.ndarray) -> bytes:
@@ -432,44 +459,38 @@ def _longer(raw: bytes) -> np.ndarray:
     return np.repeat(values, np.diff(np.append(at, n)))
 
 
-def _window_answers(lengths: list[np.ndarray], texts: list[bytes], ids: list[np.ndarray]) -> list[np.ndarray]:
-    """Merge the transforms of all strings; for each list's strings the least id by window."""
-    every = np.concatenate(lengths)
-    ends = np.append(0, np.cumsum(every))
-    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(every), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(texts))])
+def _window_answers(lengths: np.ndarray, text: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Merge the transforms of these strings; the least id by window, string by string."""
+    ends = np.append(0, np.cumsum(lengths))
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(text)])
     coded = whole.dictionary_encode()
     code, least = coded.indices.to_numpy().astype(np.int64), np.full(len(coded.dictionary), _NONE, np.int64)
-    np.minimum.at(least, code, np.concatenate(ids))
+    np.minimum.at(least, code, ids)
     sizes = pc.binary_length(coded.dictionary).to_numpy().astype(np.int64)
     data = np.frombuffer(b"".join(coded.dictionary.to_pylist()), np.uint8)
     answer, n = least_by_window(data, sizes, least, WINDOW, SHARD_BYTES)
-    first = np.cumsum(n) - n
-    out, at = [], 0
-    for own in lengths:
-        c = code[at : at + len(own)]
-        at += len(own)
-        out.append(answer[_spread(first[c], n[c])])
-    return out
+    return answer[_spread((np.cumsum(n) - n)[code], n[code])]
 
 
 def merged_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's answers, one part of its hash range after the other."""
     for bucket, rows in _grouped(batches):
-        lengths = [np.frombuffer(r[2], "<u2").astype(np.int64) for r in rows]
-        cuts = [np.append(0, np.cumsum(np.frombuffer(r[5], "<u4").astype(np.int64))) for r in rows]
-        bytes_at = [np.append(0, np.cumsum(n))[c] for n, c in zip(lengths, cuts, strict=True)]
-        ids = [np.frombuffer(r[4], "<i8") for r in rows]
-        found: list[list[np.ndarray]] = [[] for _ in rows]
-        for k in range(1 << SUB_BITS):
-            have = [x for x, c in enumerate(cuts) if c[k + 1] > c[k]]
-            if not have:
-                continue
-            part = [slice(cuts[x][k], cuts[x][k + 1]) for x in have]
-            texts = [rows[x][3][bytes_at[x][k] : bytes_at[x][k + 1]] for x in have]
-            got = _window_answers([lengths[x][p] for x, p in zip(have, part, strict=True)], texts, [ids[x][p] for x, p in zip(have, part, strict=True)])
-            for x, values in zip(have, got, strict=True):
-                found[x].append(values)
-        out = [(r[1] >> 32, r[1], bucket, _shorter(np.concatenate(v))) for r, v in zip(rows, found, strict=True)]
+        counts = [len(r[5]) for r in rows]
+        lengths = np.frombuffer(b"".join(r[2] for r in rows), "<u2").astype(np.int64)
+        data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+        ids = np.frombuffer(b"".join(r[4] for r in rows), "<i8")
+        sub = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+        per = lengths - WINDOW + 1
+        text_at, ends = np.cumsum(lengths) - lengths, np.append(0, np.cumsum(per))
+        values = np.empty(ends[-1], np.int64)
+        order = np.argsort(sub, kind="stable")
+        cuts = np.append(0, np.cumsum(np.bincount(sub, minlength=1 << SUB_BITS))).tolist()
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if y > x:
+                own = order[x:y]
+                values[_spread(ends[own], per[own])] = _window_answers(lengths[own], data[_spread(text_at[own], lengths[own])], ids[own])
+        at = ends[np.append(0, np.cumsum(counts))].tolist()
+        out = [(r[1] >> 32, r[1], bucket, _shorter(values[x:y])) for r, x, y in zip(rows, at, at[1:], strict=False)]
         yield _rows(out, ["part", "block", "bucket", "payload"])
 
 
@@ -478,7 +499,7 @@ def _apply(b: Block, s: Strings, answers: list[bytes]) -> tuple[np.ndarray, np.n
     values = np.concatenate([_longer(a) for a in answers]) if answers else np.zeros(0, np.int64)
     per = s.lengths - WINDOW + 1
     first = (np.cumsum(per) - per)[s.code]
-    edge = np.zeros(len(b.data) + 1, np.int32)
+    edge = np.zeros(len(b.data) + 1, np.int8)  # at most WINDOW windows cover a byte
     for x, y in _steps(s.n):
         n = s.n[x:y]
         least = values[_spread(first[x:y], n)]
@@ -486,7 +507,7 @@ def _apply(b: Block, s: Strings, answers: list[bytes]) -> tuple[np.ndarray, np.n
         # each window of the block is in one run, so no place comes twice
         edge[start] += 1
         edge[start + WINDOW] -= 1
-    gone = np.cumsum(edge[:-1]) > 0
+    gone = np.cumsum(edge[:-1], dtype=np.int8) > 0
     begins = gone & ~np.append(False, gone[:-1])
     heads = (np.cumsum(b.sizes) - b.sizes)[b.sizes > 0]
     begins[heads] = gone[heads]
@@ -504,22 +525,25 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null id neither remove nor lose bytes.  Null and short texts are kept as they are.
     """
     spark = docs.sparkSession
-    blocks = stage(pack_blocks(docs, id_col, text_col, list(carry)), "dedup-blocks")
-    total = blocks.select(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0] or 0
-    hash_bits, bits = (max(6, int(np.ceil(np.log2(max(1, total / x))))) for x in (HASH_BUCKET_TEXT, STRING_BUCKET_TEXT))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (256 << 20))
+    packed = stage(pack_blocks(docs, id_col, text_col, list(carry)), "dedup-parts")
+    total, last, some = packed.agg(F.sum("bytes"), F.max("part"), F.max("path")).first()
+    total, parts, folder = total or 0, 0 if last is None else last + 1, (some or "").rpartition("/")[0]
+    # a task a part, not what a scan of the small table gives one
+    blocks = spark.range(0, parts, 1, max(1, parts)).select(F.concat(F.lit(f"{folder}/"), F.col("id").cast("string"), F.lit(".arrow")).alias("path"))
+    hash_bits, bits = (max(least, int(np.ceil(np.log2(max(1, total / x))))) for x, least in ((HASH_BUCKET_TEXT, 6), (STRING_BUCKET_TEXT, 5)))
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (256 << 20))
 
     def by_bucket(rows: DataFrame, bits: int, reduce: Callable) -> DataFrame:
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 4)
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 2)
         return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(reduce, _ANSWER)
 
     flags, answers = fresh_path(spark, "dedup-flags"), fresh_path(spark, "dedup-answers")
-    answers_by_part(by_bucket(hash_rows(blocks, hash_bits), hash_bits, repeated_bits), flags, parts)
-    answers_by_part(by_bucket(string_rows(blocks, flags, hash_bits, bits), bits, merged_answers), answers, parts)
+    answers_by_part(by_bucket(hash_rows(blocks, hash_bits), hash_bits, repeated_bits), flags, files)
+    answers_by_part(by_bucket(string_rows(blocks, flags, hash_bits, bits), bits, merged_answers), answers, files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_flags, held_answers = {}, {}
-        for b in _blocks(batches):
+        for b in _blocks(batches, bool(carry)):
             s = Strings(b, answers_of(flags, b.block, held_flags), hash_bits, bits)
             gone, begins = _apply(b, s, answers_of(answers, b.block, held_answers))
             ends = np.cumsum(b.sizes)
@@ -540,7 +564,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     more = ", kept string" if with_kept else ""
     if carry:
-        more += f", rest {blocks.schema['rest'].dataType.elementType.simpleString()}"
+        more += f", rest {docs.select(*(f"`{c}`" for c in carry)).schema.simpleString()}"
     return blocks.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")
 
 

@@ -1,6 +1,9 @@
 import hashlib
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from colloquy.llm import bwt
 from colloquy.llm import suffix_dedup as sd
@@ -111,3 +114,31 @@ def test_places_sort_with_their_keys_and_grams_hash_alike_everywhere():
     whole = sd.gram_hashes(data)
     assert (whole[:26] == whole[45:]).all()
     assert all((sd.gram_hashes(data[k : k + n]) == whole[k : k + n - sd.K + 1]).all() for k in (0, 3) for n in (20, 21, 28, 50))
+
+
+def test_blocks_stay_out_of_sparks_rows_and_come_one_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(sd, "BLOCK_BYTES", 4000)
+    rows = [(k, prose(k, 60)) for k in range(60)]
+    packed = sd.pack_blocks(frame(spark, rows, clash=False).coalesce(1), "doc_id", "text", []).collect()
+    assert len(packed) == 1 and len(str(packed[0])) < 500
+    sizes = [len(b.data) for b in sd._blocks(iter([pa.RecordBatch.from_pylist([packed[0].asDict()])]))]
+    assert len(sizes) > 5 and max(sizes) < 4500 and sum(sizes) == packed[0].bytes == sum(len(t) for _, t in rows)
+
+
+def test_marking_removed_bytes_needs_few_bytes_a_byte():
+    n, none = 1 << 20, np.zeros(0, np.int64)
+    block = SimpleNamespace(data=np.zeros(n, np.uint8), sizes=np.array([n]), ids=np.array([1]))
+    tracemalloc.start()
+    gone, begins = sd._apply(block, SimpleNamespace(first=none, n=none, doc=none, lengths=none, code=none), [])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not gone.any() and not begins.any() and most < 8 * n
+
+
+def test_a_byte_under_all_windows_is_marked():
+    n = 200
+    block = SimpleNamespace(data=np.zeros(n, np.uint8), sizes=np.array([n]), ids=np.array([2]))
+    every = np.array([n - sd.WINDOW + 1])
+    strings = SimpleNamespace(first=np.array([0]), n=every, doc=np.array([0]), lengths=every + sd.WINDOW - 1, code=np.array([0]))
+    gone, begins = sd._apply(block, strings, [sd._shorter(np.ones(every[0], np.int64))])
+    assert gone.all() and begins.sum() == 1
